@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from .exact_dedup import OP10_SQL, op10
+from . import exact_dedup, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op10_exact_dedup": op10}
+    return {
+        "op4_quality_rules": quality.op4,
+        "op5_toxicity": toxicity.op5,
+        "op10_exact_dedup": exact_dedup.op10,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op4_quality_rules": quality.OP4_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
