@@ -26,7 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="rillstone-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return f"{files.makeQualified(path).toString().rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:

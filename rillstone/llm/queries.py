@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, quality, toxicity
+from . import exact_dedup, language, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality.op4,
         "op5_toxicity": toxicity.op5,
+        "op7_warc": warc.op7,
         "op8_language_id": language.op8,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_quality_rules": quality.OP4_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op4_quality_rules": quality.OP4_SQL, "op7_warc": warc.OP7_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
