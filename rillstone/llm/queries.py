@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, quality, toxicity, warc
+from . import exact_dedup, language, pii, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality.op4,
         "op5_toxicity": toxicity.op5,
+        "op6_personal_data": pii.op6,
         "op7_warc": warc.op7,
         "op8_language_id": language.op8,
         "op10_exact_dedup": exact_dedup.op10,
