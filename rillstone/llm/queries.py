@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, pii, quality, toxicity, warc
+from . import exact_dedup, language, packing, pii, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op3_packing": packing.op3,
         "op4_quality_rules": quality.op4,
         "op5_toxicity": toxicity.op5,
         "op6_personal_data": pii.op6,
