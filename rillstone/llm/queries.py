@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, packing, pii, quality, toxicity, warc
+from . import exact_dedup, language, packing, pii, quality, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op2_suffix_dedup": suffix_dedup.op2,
         "op3_packing": packing.op3,
         "op4_quality_rules": quality.op4,
         "op5_toxicity": toxicity.op5,
