@@ -1,42 +1,19 @@
-"""Shared helpers of the training-data operators: durable intermediates and byte slices."""
+"""Shared helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Python works on at most this many text bytes at a time (one longer text goes alone).
-SLICE_BYTES = 2 << 20
+from rillstone.storage import durable, shared_dir
 
+__all__ = ["SLICE_BYTES", "content_key", "durable", "flat_bytes", "held_out", "shared_dir", "text_or_empty", "text_slices", "train_fold"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path under the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rillstone-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return f"{files.makeQualified(path).toString().rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: later reads outlive lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Python works on at most this many text bytes at a time (one longer text goes alone).
+SLICE_BYTES = 2 << 20
 
 
 def text_or_empty(column: str = "text") -> Column:
