@@ -232,10 +232,11 @@ def _pair_marginals(scores: np.ndarray, transition: np.ndarray, first: np.ndarra
 
 def train(docs: DataFrame, sample: int = SAMPLE_ROWS) -> Crf | None:
     """A model from a bounded sample of the training fold's rows with text and lang; None without any."""
-    known = docs.select("doc_id", "lang", "text").where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS) & train_fold(F.col("doc_id"))
-    )
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(sample)
+    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS) & train_fold(F.col("doc_id"))
+    known = docs.select("doc_id", "lang", "text").where(usable)
+    by_hash = (F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id").orderBy(*by_hash).limit(sample).dropDuplicates()
+    rows = known.join(F.broadcast(ids), "doc_id").orderBy(*by_hash, "lang", "text").limit(sample)
     found = [(r.text.encode(), r.lang) for r in rows.toLocalIterator()]
     return fit([t for t, _ in found], [x for _, x in found])
 

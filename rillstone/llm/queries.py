@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, packing, pii, quality, suffix_dedup, toxicity, warc
+from . import exact_dedup, jaccard_join, language, packing, pii, quality, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_personal_data": pii.op6,
         "op7_warc": warc.op7,
         "op8_language_id": language.op8,
+        "op9_jaccard_join": jaccard_join.op9,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
