@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language, packing, pii, quality, suffix_dedup, toxicity, warc
+from . import bpe, exact_dedup, jaccard_join, language, packing, pii, quality, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1,
         "op2_suffix_dedup": suffix_dedup.op2,
         "op3_packing": packing.op3,
         "op4_quality_rules": quality.op4,
