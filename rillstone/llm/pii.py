@@ -184,31 +184,40 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return all_spans(docs, id_col, text_col).select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-def _redactor(text_col):
+def masked(text: str, spans) -> str:
+    """The text with each span replaced by its kind; of overlapping spans the first names the whole."""
+    parts, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
+        at = max(at, s["end"])
+    return "".join([*parts, text[at:]])
+
+
+def _redactor(text_col, length_col):
     def run(batches):
         for batch in text_slices(batches, text_col):
-            out = []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                if spans:
-                    parts, at = [], 0
-                    for s in spans:
-                        if s["end"] > at:
-                            if s["start"] >= at:
-                                parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
-                            at = s["end"]
-                    text = "".join([*parts, text[at:]])
-                out.append(text)
-            names = [k for k in batch.schema.names if k != "spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == text_col else batch.column(k) for k in names], names)
+            columns = {k: batch.column(k) for k in batch.schema.names if k != "spans"}
+            spans = batch.column("spans").to_pylist()
+            texts = [masked(t, s) if s else t for t, s in zip(columns[text_col].to_pylist(), spans, strict=True)]
+            columns[text_col] = pa.array(texts, columns[text_col].type)
+            if length_col in columns:
+                lengths = [len(t) if s else n for t, s, n in zip(texts, spans, columns[length_col].to_pylist(), strict=True)]
+                columns[length_col] = pa.array(lengths, columns[length_col].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All input rows with the input's columns; spans are replaced by their kind, as ``[EMAIL]``."""
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """All input rows with the input's columns; spans are replaced by their kind, as ``[EMAIL]``.
+
+    A column ``length_col``, if there is one, then holds the code points of the new text where
+    the text changed.
+    """
     numbered = durable(docs.select("*", F.monotonically_increasing_id().alias("_row")))
     spans = all_spans(numbered, id_col, text_col, "_row").where(F.size("spans") > 0).select("_row", "spans")
-    return numbered.join(spans, "_row", "left").drop("_row").mapInArrow(_redactor(text_col), docs.schema)
+    return numbered.join(spans, "_row", "left").drop("_row").mapInArrow(_redactor(text_col, length_col), docs.schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
