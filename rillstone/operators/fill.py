@@ -156,9 +156,10 @@ def refill(raw: DataFrame, mask: DataFrame, interp: DataFrame, features: list[st
     base = raw.select(*keys).distinct()
     flags = aggregate_mask(mask, keys)
     values = interp.groupBy(*keys).agg(*(F.avg(n).alias(f"{f}_interp") for f, n in zip(features, names, strict=True)))
-    on = lambda t: reduce(lambda a, b: a & b, (base[k].eqNullSafe(t[k]) for k in keys))
-    joined = base.join(flags, on(flags), "left").join(values, on(values), "left")
-    merged = joined.select(*(base[k] for k in keys), truth(F.col("mask_flag")).alias("mask_flag"), *(f"{f}_interp" for f in features))
+    named = lambda t, p: t.select(*(F.col(k).alias(p + k) for k in keys), *(c for c in t.columns if c not in keys))
+    on = lambda p: reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(p + k)) for k in keys))
+    joined = base.join(named(flags, "_m_"), on("_m_"), "left").join(named(values, "_v_"), on("_v_"), "left")
+    merged = joined.select(*keys, truth(F.col("mask_flag")).alias("mask_flag"), *(f"{f}_interp" for f in features))
     at_time = Window.partitionBy(time)
     out = [f"{f}_interp" for f in features]
     first = merged.withColumns({f: F.when(F.col("mask_flag") & F.col(f).isNull(), F.avg(f).over(at_time)).otherwise(F.col(f)) for f in out})
