@@ -81,7 +81,7 @@ def rule_scores(df: DataFrame, station: str = "station_id", time: str = "timesta
     return joined.withColumns({"s5": s5, "s7": s7}).drop("_s", "_q99", "_q99_all", "_q10")
 
 
-def score_mask(df: DataFrame, alphas: tuple[float, float, float], threshold: float) -> Column:
+def score_mask(alphas: tuple[float, float, float], threshold: float) -> Column:
     """True where the weighted score is above the threshold; a null score isn't."""
     score = sum((a * F.col(c) for a, c in zip(alphas, ("s5", "s7", "s8"), strict=True)), F.lit(0.0))
     return truth(score > threshold)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillstone.plans import fills
+from rillstone.plans import fills, scores
 
-_ALL = {**fills.QUERIES}
+_ALL = {**fills.QUERIES, **scores.QUERIES}
 
 
 def queries() -> dict:
