@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillstone.plans import fills, scores
+from rillstone.plans import fills, places, scores
 
-_ALL = {**fills.QUERIES, **scores.QUERIES}
+_ALL = {**fills.QUERIES, **scores.QUERIES, **places.QUERIES}
 
 
 def queries() -> dict:
