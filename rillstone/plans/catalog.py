@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillstone.plans import fills, places, scores
+from rillstone.plans import fills, forecasts, places, scores
 
-_ALL = {**fills.QUERIES, **scores.QUERIES, **places.QUERIES}
+_ALL = {**fills.QUERIES, **scores.QUERIES, **places.QUERIES, **forecasts.QUERIES}
 
 
 def queries() -> dict:
