@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.storage import durable, shared_dir
 
-__all__ = ["SLICE_BYTES", "content_key", "durable", "flat_bytes", "held_out", "shared_dir", "text_or_empty", "text_slices", "train_fold"]
+__all__ = ["SLICE_BYTES", "content_key", "durable", "flat_bytes", "held_out", "shared_dir", "spare_name", "text_or_empty", "text_slices", "train_fold"]
 
 #: Python works on at most this many text bytes at a time (one longer text goes alone).
 SLICE_BYTES = 2 << 20
@@ -20,6 +20,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def spare_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores before it until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def content_key(text: Column) -> Column:
     """128 bits that name a text."""
     return F.unhex(F.md5(text))

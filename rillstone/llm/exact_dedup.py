@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, durable, text_or_empty
+from .common import content_key, durable, spare_name, text_or_empty
 
 #: Characters that don't count when texts are compared.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -62,10 +62,11 @@ def _verdicts(keyed: DataFrame, rows: DataFrame) -> DataFrame:
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with the input's columns; cases as in ``exact_dedup``."""
-    numbered = durable(docs.select("*", F.monotonically_increasing_id().alias("_row")))
-    keyed = _keyed(numbered.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "_row"))
-    kept = _verdicts(keyed, durable(keyed.drop("_n"))).where("kept").select("_row")
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    row = spare_name(docs, "_row")
+    numbered = durable(docs.select("*", F.monotonically_increasing_id().alias(row)))
+    keyed = _keyed(numbered.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row).alias("_row")))
+    kept = _verdicts(keyed, durable(keyed.drop("_n"))).where("kept").select(F.col("_row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, text_slices
+from .common import durable, spare_name, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Lexical patterns are the last so many words and signs before an identifier, within CONTEXT_CHARS.
@@ -194,11 +194,11 @@ def masked(text: str, spans) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _redactor(text_col, length_col):
+def _redactor(text_col, length_col, found):
     def run(batches):
         for batch in text_slices(batches, text_col):
-            columns = {k: batch.column(k) for k in batch.schema.names if k != "spans"}
-            spans = batch.column("spans").to_pylist()
+            columns = {k: batch.column(k) for k in batch.schema.names if k != found}
+            spans = batch.column(found).to_pylist()
             texts = [masked(t, s) if s else t for t, s in zip(columns[text_col].to_pylist(), spans, strict=True)]
             columns[text_col] = pa.array(texts, columns[text_col].type)
             if length_col in columns:
@@ -215,9 +215,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     A column ``length_col``, if there is one, then holds the code points of the new text where
     the text changed.
     """
-    numbered = durable(docs.select("*", F.monotonically_increasing_id().alias("_row")))
-    spans = all_spans(numbered, id_col, text_col, "_row").where(F.size("spans") > 0).select("_row", "spans")
-    return numbered.join(spans, "_row", "left").drop("_row").mapInArrow(_redactor(text_col, length_col), docs.schema)
+    row, found = spare_name(docs, "_row"), spare_name(docs, "_spans")
+    numbered = durable(docs.select("*", F.monotonically_increasing_id().alias(row)))
+    spans = all_spans(numbered, id_col, text_col, row).where(F.size("spans") > 0).select(F.col("_row").alias(row), F.col("spans").alias(found))
+    return numbered.join(spans, row, "left").drop(row).mapInArrow(_redactor(text_col, length_col, found), docs.schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
