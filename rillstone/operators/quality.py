@@ -96,14 +96,15 @@ def f1_sweep(df: DataFrame, grid: DataFrame, truth_col: str = "true_bad", day_ke
     """(the grid's columns a5, a7, a8, threshold, with f1_time, f1_day, f1_sum) for each row of the grid.
 
     f1_time is over rows, f1_day over day keys, with a day positive if any of its rows is. The
-    grid is a small broadcast table, so all combinations take one pass; rows are first reduced
-    to counts of equal scores.
+    grid is a small broadcast table, so all combinations take one pass; a day's rows with equal
+    scores count as one with a weight.
     """
     params = ["a5", "a7", "a8", "threshold"]
     score = F.col("a5") * F.col("s5") + F.col("a7") * F.col("s7") + F.col("a8") * F.col("s8")
-    slim = df.select(*day_keys, "s5", "s7", "s8", truth(F.col(truth_col)).alias("t"))
+    slim = df.groupBy(*day_keys, "s5", "s7", "s8", truth(F.col(truth_col)).alias("t")).agg(F.count(F.lit(1)).alias("c"))
     each = slim.join(F.broadcast(grid.select(*params))).withColumn("p", truth(score > F.col("threshold")))
-    days = each.groupBy(*params, *day_keys).agg(F.bool_or("t").alias("t_day"), F.bool_or("p").alias("p_day"), F.count_if(F.col("t") & F.col("p")).alias("tp"), F.count_if(~F.col("t") & F.col("p")).alias("fp"), F.count_if(F.col("t") & ~F.col("p")).alias("fn"))
+    rows = lambda t, p: F.sum(F.when((F.col("t") == t) & (F.col("p") == p), F.col("c")).otherwise(0))
+    days = each.groupBy(*params, *day_keys).agg(F.bool_or("t").alias("t_day"), F.bool_or("p").alias("p_day"), rows(True, True).alias("tp"), rows(False, True).alias("fp"), rows(True, False).alias("fn"))
     sums = days.groupBy(*params).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.coalesce(f1(F.col("t_day"), F.col("p_day")), F.lit(0.0)).alias("f1_day"))
     time = F.coalesce(F.try_divide(2.0 * F.col("tp"), (2.0 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")), F.lit(0.0))
     return sums.select(*params, time.alias("f1_time"), "f1_day", (time + F.col("f1_day")).alias("f1_sum"))
