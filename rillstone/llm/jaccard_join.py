@@ -2,9 +2,10 @@
 
 Texts are sets of word shingles. A run puts each set into the bucket of one sampled token, its
 least shingle under one of the run's random orders; sets with similarity s share it with chance
-s. Buckets of few sets are compared by brute force on sketches; a larger one is split again,
-each of its sets going on to the buckets of ``CHILDREN`` more sampled tokens, down to ``DEPTH``
-levels, beyond which a bucket counts as one candidate group. Runs are repeated until a pair at
+s. Buckets of few sets are compared by brute force on sketches. A larger one whose sets are alike
+on average counts as one candidate group; another is split again, each of its sets going on to
+the buckets of ``CHILDREN`` more sampled tokens, down to ``DEPTH`` levels, beyond which any bucket
+is a candidate group. Runs are repeated until a pair at
 the threshold is found with chance ``RECALL``. Candidate groups then get all their shingles and
 exact similarities, block against block.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from rillstone.operators.components import connected_components
 
 from .bytehash import RangeHash, mix, spans
-from .common import content_key, durable, flat_bytes, text_or_empty, text_slices
+from .common import content_key, durable, flat_bytes, spare_name, text_or_empty, text_slices
 
 WORDS = 5
 #: Sets are linked with a similarity of at least 4/5; kept as a fraction for exact tests.
@@ -34,6 +35,8 @@ DEPTH = 4
 #: Tokens of a sketch, and how many standard errors below the threshold still count as candidates.
 TOKENS = 48
 SLACK = 4.5
+#: Sets of a large bucket that are looked at to tell whether its sets are alike. This decides only how candidates are grouped.
+SAMPLE = 32
 #: Sets of a block in the exact comparison.
 BLOCK = 2048
 
@@ -165,28 +168,49 @@ def _bucket_edges(least_share, ratio):
     return run
 
 
+def _alike(least_share):
+    """Whether the sketches of a bucket's sample agree in at least ``least_share`` of their tokens on average."""
+
+    def run(batches):
+        for batch in batches:
+            whole = []
+            for sketches in batch.column("sample").to_pylist():
+                s = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sketches), TOKENS)
+                n = len(s)
+                same = sum((np.unique(column, return_counts=True)[1] ** 2).sum() for column in s.T) - n * TOKENS
+                whole.append(bool(n > 1 and same >= least_share * n * (n - 1) * TOKENS))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("hub"), pa.array(whole)], ["path", "hub", "whole"])
+
+    return run
+
+
 def candidate_edges(sets: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
     """(a, b): edges that connect, but needn't pair, all sets that the runs bring together."""
+    share = max(0.0, threshold - SLACK * math.sqrt(threshold * (1 - threshold) / TOKENS))
     slim = sets.select("set", "size", "sketch")
     nodes = sets.select(F.posexplode("tokens").alias("run", "token"), "set").select(F.xxhash64("run", "token").alias("path"), "set")
     compare, edges = [], []
     for level in range(1, DEPTH + 1):
         nodes = durable(nodes)
-        counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        counts = durable(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         shared = durable(nodes.join(counts, "path"))
         compare.append(shared.where(F.col("n") <= small).select("path", "set"))
-        big = shared.where(F.col("n") > small).select("path", "set")
+        big = shared.where(F.col("n") > small).select("path", "set").join(slim.select("set", "sketch"), "set")
+        big = durable(big)
         if big.isEmpty():
             break
+        # a large bucket of sets that are much alike can't be split: it is one candidate group
+        slot = F.pmod(F.xxhash64("set"), F.lit(SAMPLE)).alias("slot")
+        some = big.groupBy("path", slot).agg(F.min(F.struct("set", "sketch")).alias("s")).groupBy("path").agg(F.min("s.set").alias("hub"), F.collect_list("s.sketch").alias("sample"))
+        groups = durable(some.mapInArrow(_alike(share), "path long, hub binary, whole boolean"))
+        big = big.join(groups, "path")
+        edges.append(big.where(F.lit(level == DEPTH) | F.col("whole")).select(F.col("set").alias("a"), F.col("hub").alias("b")).where("a <> b"))
         if level == DEPTH:
-            least = big.groupBy("path").agg(F.min("set").alias("b"))
-            edges.append(big.join(least, "path").select(F.col("set").alias("a"), "b").where("a <> b"))
             break
         child = F.explode(F.array(*map(F.lit, range(CHILDREN)))).alias("child")
         at = F.pmod(F.xxhash64("path", "child"), F.lit(TOKENS)).cast("int")
-        split = big.join(slim.select("set", "sketch"), "set").select("path", "set", "sketch", child)
+        split = big.where(~F.col("whole")).select("path", "set", "sketch", child)
         nodes = split.select(F.xxhash64("path", "child", F.substring(F.col("sketch"), 2 * at + 1, F.lit(2))).alias("path"), "set").dropDuplicates()
-    share = max(0.0, threshold - SLACK * math.sqrt(threshold * (1 - threshold) / TOKENS))
     together = compare[0]
     for x in compare[1:]:
         together = together.unionByName(x)
@@ -274,7 +298,7 @@ def _verify(threshold):
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, small: int = SMALL, block: int = BLOCK, row: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, n_copies (and the ``row`` column, if one is named).
+    """One row per input row: doc_id, class_id, n_links, n_copies (and, if a ``row`` column is named, it as _row and the class itself as _class).
 
     Documents are linked when the Jaccard similarity of their sets of ``words``-word shingles is
     at least the threshold (a fraction); classes are the connected components, named by their
@@ -311,29 +335,30 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sets.select("set", "rows", "least").join(joined.select(F.col("node").alias("set"), "component"), "set", "left").join(links, "set", "left")
     named = named.withColumn("component", F.coalesce("component", "set"))
     classes = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = named.join(classes, "component").select("set", "rows", "n_links", "class_id")
+    named = named.join(classes, "component").select("set", "rows", "n_links", "class_id", F.col("component").alias("_class"))
     if row:
         by_key = worded.select("key", "set").dropDuplicates(["key"])
         worded = keyed.select("_row", "doc_id", "key").join(by_key, "key")
         wordless = keyed.select("_row", "doc_id", "key").join(by_key, "key", "left_anti")
     else:
         wordless = sketched.where("set IS NULL")
-    extra = ["_row"] * bool(row)
+    extra, kind = (["_row"], ["_class"]) if row else ([], [])
     # each wordless document is alone
-    out = worded.select(*extra, "doc_id", "set").join(named, "set").select(*extra, "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("rows") - 1).cast("long").alias("n_copies"))
-    alone = wordless.select(*extra, "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
+    out = worded.select(*extra, "doc_id", "set").join(named, "set").select(*extra, *kind, "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("rows") - 1).cast("long").alias("n_copies"))
+    alone = wordless.select(*extra, *(F.lit(None).cast("binary").alias(k) for k in kind), "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
     return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows, one of each class: that with the least id, then the first in the input. Wordless rows stay."""
-    numbered = durable(docs.select("*", F.monotonically_increasing_id().alias("_row9")))
-    classes = durable(jaccard_classes(numbered, id_col, text_col, row="_row9"))
+    row = spare_name(docs, "_row")
+    numbered = durable(docs.select("*", F.monotonically_increasing_id().alias(row)))
+    classes = durable(jaccard_classes(numbered, id_col, text_col, row=row))
     grouped = classes.where("n_links > 0 OR n_copies > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row"))
-    best = grouped.groupBy("class_id").agg(first.alias("_best")).select(F.col("_best._row").alias("_row"), F.lit(True).alias("_kept"))
-    dropped = grouped.join(best, "_row", "left_anti").select(F.col("_row").alias("_row9"))
-    return numbered.join(dropped, "_row9", "left_anti").drop("_row9")
+    best = grouped.groupBy("_class").agg(first.alias("_best")).select(F.col("_best._row").alias("_row"))
+    dropped = grouped.join(best, "_row", "left_anti").select(F.col("_row").alias(row))
+    return numbered.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
