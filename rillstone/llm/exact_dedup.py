@@ -20,10 +20,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one stays. An empty table gives an empty result. Other columns are ignored, whatever
     their names.
 
-    Only ids, hashes and lengths are shuffled for all rows. The texts themselves are compared
-    where a hash occurs twice or more, by grouping on the bytes: equal texts collapse before
-    the shuffle, so a hot group of copies sends one row per task. A row's number is fixed by
-    a durable copy of the small columns before it breaks a tie.
+    Rows are grouped by hash and bytes: equal texts collapse before the shuffle, so a hot group of
+    copies sends one row per task, and no two texts meet but those of one hash. A row's number is
+    fixed by a durable copy of the small columns before it breaks a tie.
     """
     keyed = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_row")))
     rows = durable(keyed.drop("_n"))
@@ -40,16 +39,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _verdicts(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     best = F.max(F.struct("_len", F.bitwise_not("doc_id").alias("_not_id"), F.bitwise_not("_row").alias("_not_row")))
     groups = rows.groupBy("_h", "text_sha256").agg(best.alias("_best"))
-    shared = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n_h")).where("_n_h > 1").select("_h")
-    # the bytes decide who is in a group; the hash only says which texts to compare
-    classes = (
-        keyed.select("_h", "_n", "text_sha256")
-        .join(shared, "_h", "left_semi")
-        .groupBy("_h", "text_sha256", "_n")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_h", "text_sha256", "_size")
-    )
-    groups = groups.join(classes, ["_h", "text_sha256"], "left")
+    # the bytes decide who is in a group: equal texts collapse in each task, then once more by hash and bytes
+    classes = keyed.groupBy("_h", "text_sha256", "_n").agg(F.count(F.lit(1)).alias("_size")).select("_h", "text_sha256", "_size")
+    groups = durable(groups.join(classes, ["_h", "text_sha256"], "left"))
     return rows.join(groups, ["_h", "text_sha256"]).select(
         "_row",
         "doc_id",
