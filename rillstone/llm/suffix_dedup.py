@@ -263,17 +263,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gr
     # with keep="none" only the text matters, so equal texts share a key and their results
     long = F.octet_length("text") >= length
     every = durable(rows.where(long).mapInArrow(_find_runs(length, gram), _RUN))
-    often = every.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("fp")
+    often = durable(every.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("fp"))
     shared = durable(every.join(often, "fp", "left_semi"))
     first = F.min(F.struct("ord", "key", "lo", "hi"))
     distinct = durable(shared.groupBy("fp", "run").agg(F.count(F.lit(1)).alias("copies"), first.alias("r")).select("fp", "run", "copies", "r.*"))
+    # written tables on both sides of a join let Spark split a hot minimizer over tasks
     # equal runs: all windows are copies
     copied = shared.join(distinct.where("copies > 1").select("fp", "run", F.struct("ord", "key", "lo").alias("_first")), ["fp", "run"])
     if keep == "first":
         copied = copied.where(~F.struct("ord", "key", "lo").eqNullSafe(F.col("_first")))
     flags = copied.select("key", "lo", "hi")
     # different runs under one minimizer: their bytes are compared
-    kinds = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1")
+    kinds = durable(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1"))
     wanted = distinct.join(kinds, "fp").groupBy("key").agg(F.collect_list(F.struct("fp", "lo", "hi", "_kinds")).alias("want"))
     unique = rows.where(long).join(wanted, "key")
     if keep == "none":
