@@ -18,7 +18,7 @@ CONTEXT_CHARS = 48
 LEAST_SEEDS = 3
 LEAST_CONFIDENCE = 0.8
 ROUNDS = 3
-#: Unseen identifiers have at least so many digits and at most so many characters.
+#: Bounds of ``candidates`` only: single tokens with at least so many digits and at most so many characters.
 LEAST_DIGITS = 4
 MOST_CHARS = 64
 
@@ -29,6 +29,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORDS = re.compile(r"[^\W\d_]+|[=:#]")
+_MARK = re.compile(r"[0-9@]|(?<=\w)[._](?=\w)|(?<=\w)(?=\x20?[\[({](?:at|dot|@)[\])}])|(?<=\w)(?=\x20at\x20[\w-]+\x20dot\x20\w)", re.I)
+#: What joins the parts of an address, and the next group of digits.
+_AT_DOT = re.compile(r"\x20?[\[({](?:at|dot|@)[\])}]\x20?(?=\w)|\x20at\x20(?=[\w-]+\x20dot\x20\w)|\x20dot\x20(?=\w)", re.I)
+_GROUP = re.compile(r"[)\]]?(?:\x20-\x20|[\x20\xa0-])?[(\[]?[0-9][0-9.-]*(?<=[0-9])(?![^\W_])")
+_PAIRS = {"(": ")", "[": "]"}
 _EDGE = frozenset(" \t\n\r\x0b\x0c\"'()[]{}<>,;|&$%*")
 
 
@@ -111,6 +116,48 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def _run(text: str, start: int, at: int) -> tuple[int, int]:
+    """The token around a place, not before ``at``, without signs at its end."""
+    end = start
+    while start > at and text[start - 1] not in _EDGE:
+        start -= 1
+    while end < len(text) and text[end] not in _EDGE:
+        end += 1
+    while end > start and not text[end - 1].isalnum():
+        end -= 1
+    return start, end
+
+
+def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Whole identifiers of any length that overlap no taken span, in time linear in the text.
+
+    A token is one if it has a digit, an at-sign or an inner point or underscore; a bare word is
+    none. Groups of digits that blanks, brackets or hyphens join are one identifier, as are the
+    parts of an address around a written ``[at]``, ``(dot)`` or ``at ... dot``.
+    """
+    out, at, spans = [], 0, iter([*sorted((s, e) for s, _, e in taken), (len(text) + 1, len(text) + 1)])
+    span = next(spans)
+    while m := _MARK.search(text, at):
+        while span[1] <= m.start():
+            span = next(spans)
+        if span[0] <= m.start():
+            at = span[1]
+            continue
+        start, end = _run(text, m.start(), at)
+        end = max(end, m.end())
+        while j := _AT_DOT.match(text, end) or (_GROUP.match(text, end) if text[end - 1].isdigit() else None):
+            stop = _run(text, j.end(), j.end())[1] if j.re is _AT_DOT else j.end()
+            if stop <= end or j.end() > span[0] or stop > span[0]:
+                break
+            end = stop
+        if start > at and text[start - 1] in _PAIRS and _PAIRS[text[start - 1]] in text[start:end]:
+            start -= 1
+        if end <= span[0] and any(c.isalnum() for c in text[start:end]):
+            out.append((start, end))
+        at = max(end, m.start() + 1)
+    return out
+
+
 def _extract(batches):
     for batch in text_slices(batches):
         rows = []
@@ -118,7 +165,7 @@ def _extract(batches):
             text = text or ""
             found = base_spans(text)
             seen = [{"start": s, "end": e, "kind": KINDS[k], "context": context(text, s), "value": text[s:e]} for s, k, e in found]
-            seen += [{"start": s, "end": e, "kind": None, "context": c, "value": text[s:e]} for s, e in candidates(text, found) if (c := context(text, s))]
+            seen += [{"start": s, "end": e, "kind": None, "context": c, "value": text[s:e]} for s, e in identifiers(text, found) if (c := context(text, s))]
             rows.append(seen)
         yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(rows, _SEEN)], ["_row", "doc_id", "seen"])
 
@@ -127,27 +174,22 @@ _SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind",
 _SCHEMA = "_row long, doc_id long, seen array<struct<start:long,end:long,kind:string,context:string,value:string>>"
 
 
-def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """context, kind, confidence of the patterns that are trusted, from rows (kind or null, context, value).
-
-    The graph joins patterns to the instances they stand before. Seeds score 1 for their kind;
-    a pattern's confidence for a kind is the mean score of its instances; another instance's
-    score is 1 - prod(1 - confidence) over its patterns with enough seeds. The rounds repeat
-    both. One edge per pattern and instance is kept, so copies of a text count once.
-    """
-    edges = durable(seen.where(F.col("context").isNotNull()).groupBy("context", "value").agg(F.max("kind").alias("seed")))
-    sizes = edges.groupBy("context").agg(F.count(F.lit(1)).alias("instances"), *(F.count_if(F.col("seed") == k).alias(f"seeds_{k}") for k in KINDS))
+def _scored(edges: DataFrame, rounds: int, least_seeds: int, least_confidence: float) -> DataFrame:
+    """context, kind, confidence of the patterns that the seeds of the graph make trusted."""
+    numbered = F.col("value").rlike("[0-9]")
+    sizes = edges.groupBy("context").agg(F.count(F.lit(1)).alias("every"), F.count_if(numbered).alias("numbered"), *(F.count_if(F.col("seed") == k).alias(f"seeds_{k}") for k in KINDS))
     able = durable(sizes.where(" OR ".join(f"seeds_{k} >= {least_seeds}" for k in KINDS)))
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"seeds_{k}").alias("seeds")) for k in KINDS)))
-    patterns = able.select("context", "instances", kinds.alias("k")).select("context", "instances", "k.kind", "k.seeds").where(F.col("seeds") >= least_seeds)
-    graph = edges.join(able.select("context"), "context", "left_semi")
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"seeds_{k}").alias("seeds"), F.col("every" if k == "email" else "numbered").alias("instances")) for k in KINDS)))
+    patterns = able.select("context", kinds.alias("k")).select("context", "k.kind", "k.seeds", "k.instances").where(F.col("seeds") >= least_seeds)
+    open_ends = durable(edges.where(F.col("seed").isNull()).join(able.select("context"), "context", "left_semi").select("context", "value"))
     confidence = patterns.withColumn("confidence", F.col("seeds") / F.col("instances"))
+    fits = (F.col("kind") == "email") | numbered
     for _ in range(rounds):
         guessed = (
-            graph.where(F.col("seed").isNull()).join(confidence.select("context", "kind", "confidence"), "context")
+            open_ends.join(confidence.select("context", "kind", "confidence"), "context").where(fits)
             .groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
         )
-        gained = graph.where(F.col("seed").isNull()).join(guessed, "value").groupBy("context", "kind").agg(F.sum("score").alias("gain"))
+        gained = open_ends.join(guessed, "value").groupBy("context", "kind").agg(F.sum("score").alias("gain"))
         confidence = durable(
             patterns.join(gained, ["context", "kind"], "left").withColumn("confidence", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("instances")).select("context", "kind", "seeds", "instances", "confidence")
         )
@@ -155,6 +197,29 @@ def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = L
     return confidence.where((F.col("confidence") >= least_confidence) & (F.col("seeds") / F.col("instances") >= least_confidence / 2)).select("context", "kind", "confidence")
 
 
+def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+    """context, kind, confidence of the patterns that are trusted, from rows (kind or null, context, value).
+
+    The graph joins patterns to the instances they stand before. Seeds score 1 for their kind;
+    a pattern's confidence for a kind is the mean score of its instances; another instance's
+    score is 1 - prod(1 - confidence) over its patterns with enough seeds. The rounds repeat
+    both. Then the instances of trusted patterns are seeds too, wherever they stand, and it all
+    starts again until there are no new ones, at most so many times. One edge per pattern and
+    instance is kept, so copies of a text count once.
+    """
+    edges = durable(seen.where(F.col("context").isNotNull()).groupBy("context", "value").agg(F.max("kind").alias("seed")))
+    trusted = durable(_scored(edges, rounds, least_seeds, least_confidence))
+    for _ in range(rounds):
+        ours = edges.where(F.col("seed").isNull()).join(trusted, "context").where((F.col("kind") == "email") | F.col("value").rlike("[0-9]"))
+        new = durable(ours.groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("new")))
+        if new.isEmpty():
+            break
+        edges = durable(edges.join(new, "value", "left").select("context", "value", F.coalesce("seed", "new").alias("seed")))
+        more = _scored(edges, rounds, least_seeds, least_confidence)
+        trusted = durable(trusted.unionByName(more).groupBy("context", "kind").agg(F.max("confidence").alias("confidence")))
+    return trusted
+
+
 def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """_row, doc_id, base and spans: arrays of (start, place, kind, end), sorted by start and kind's place."""
     number = F.col(row) if row else F.monotonically_increasing_id()
@@ -164,7 +229,8 @@ def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     trusted = trusted_patterns(seen)
     best = trusted.groupBy("context").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     place = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
-    more = seen.where(F.col("kind").isNull()).drop("kind").join(best, "context").groupBy("_row").agg(F.collect_list(F.struct("start", place(F.col("kind")).alias("place"), "kind", "end")).alias("more"))
+    unseen = seen.where(F.col("kind").isNull()).drop("kind").join(best, "context").where((F.col("kind") == "email") | F.col("value").rlike("[0-9]"))
+    more = unseen.groupBy("_row").agg(F.collect_list(F.struct("start", place(F.col("kind")).alias("place"), "kind", "end")).alias("more"))
     known = F.filter("seen", lambda s: s["kind"].isNotNull())
     base = F.array_sort(F.transform(known, lambda s: F.struct(s["start"].alias("start"), place(s["kind"]).alias("place"), s["kind"].alias("kind"), s["end"].alias("end"))))
     both = found.select("_row", "doc_id", base.alias("base")).join(more, "_row", "left")

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from rillstone.llm.pii import KINDS, base_spans, candidates, personal_data, redact
+from rillstone.llm.pii import KINDS, base_spans, candidates, identifiers, personal_data, redact
 
 
 def luhn(digits):
@@ -78,3 +78,44 @@ def test_redaction(make_docs, edge_rows):
     hidden = [r for r in rows if r.text and r.text.startswith("mail me")]
     assert {r.text for r in hidden} == {"mail me at [EMAIL] or [PHONE]"} and all(r.n_chars == len(r.text) for r in hidden)
     assert sorted(str(r.text) for r in rows if not (r.text or "").startswith("mail me")) == sorted(str(r[1]) for r in edge_rows if not (r[1] or "").startswith("mail me"))
+
+
+def test_whole_identifiers():
+    text = "ring (555) 123-4567, jane[at]example.org jim (at) example (dot) org or ann at example dot org; x1 and 12, 10.0.0.1 (id77889). The end"
+    got = [text[s:e] for s, e in identifiers(text, base_spans(text))]
+    assert got == ["(555) 123-4567", "jane[at]example.org", "jim (at) example (dot) org", "ann at example dot org", "x1", "12", "id77889"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_identifiers_keep_off_spans_and_end(seed):
+    rng = random.Random(seed)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "1", " ", "(", ")", "[at]", " dot ", " at ", "@", ".", "-", "_", "+", "é", "\n"]) for _ in range(rng.randint(0, 40)))
+        base = base_spans(text)
+        spans = identifiers(text, base)
+        assert all(s < e for s, e in spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        assert not any(s < f and b < e for s, e in spans for b, _, f in base)
+        # no digit outside of all spans
+        assert all(any(s <= i < e for s, e in spans) or any(s <= i < e for s, _, e in base) for i, c in enumerate(text) if c == "1"), text
+
+
+def test_unseen_identifiers_are_redacted_whole(make_docs):
+    from tests.llm.conftest import rows_of
+
+    rng = random.Random(2)
+    texts = [f"please call me on +1 555 {rng.randint(100, 999)} {rng.randint(1000, 9999)} today" for _ in range(30)]
+    texts += [f"you may write to user{i}@example.org soon" for i in range(30)]
+    first = len(texts)
+    texts += ["please call me on (555) 123-4567 today", "please call me on 911 today", "you may write to jane[at]example.org soon", "you may write to them soon"]
+    got = {r.doc_id: r.text for r in redact(make_docs(rows_of(texts))).collect()}
+    assert [got[first + i] for i in range(4)] == ["please call me on [PHONE] today", "please call me on [PHONE] today", "you may write to [EMAIL] soon", "you may write to them soon"]
+
+
+def test_instances_seed_the_next_round(make_docs):
+    from tests.llm.conftest import rows_of
+
+    rng = random.Random(3)
+    texts = [f"your card number {valid_card(rng)} is stored" for _ in range(40)]
+    texts += [f"your card number AB-{i}-7 is stored" for i in range(4)] + [f"the member code AB-{i}-7 is valid" for i in range(4)]
+    got = {r.doc_id: r.spans for r in personal_data(make_docs(rows_of([*texts, "the member code ZZ-9 is valid"]))).collect()}
+    assert got[len(texts)] == "card:16:20"
