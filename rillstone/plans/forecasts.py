@@ -63,6 +63,28 @@ FFILL_SQL = f"""WITH {_WEATHER}, lo AS (SELECT direction, min(hour) AS a, max(ho
 SELECT direction, hour, last_value(y IGNORE NULLS) OVER (PARTITION BY direction ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM gr LEFT JOIN we USING (direction, hour)"""
 
 
+def resample_linear_whole(spark, d):
+    """The whole hourly series, each half hour on the line between its hours."""
+    out = timeslots.resample_linear(hourly(spark, d), ["direction"], "hour", ["y"], 30)
+    return out.select("direction", "hour", quantize(F.col("y")).alias("y"))
+
+
+def asfreq_grid_whole(spark, d):
+    return timeslots.regular_grid(hourly(spark, d), ["direction"], "hour", 30).select("direction", "hour", "y")
+
+
+def resample_ffill_whole(spark, d):
+    from rillstone.operators.fill import carry_fill
+
+    return carry_fill(asfreq_grid_whole(spark, d), ["y"], ["direction"], ["hour"], backward=False).select("direction", "hour", "y")
+
+
+_WHOLE = f"{HOURLY}, we AS (SELECT * FROM g)"
+LINEAR_WHOLE_SQL = LINEAR_SQL.replace(_WEATHER, _WHOLE).replace("t1 - INTERVAL 1 HOUR, hour), INTERVAL 1 HOUR", "t1 - INTERVAL 30 MINUTE, hour), INTERVAL 30 MINUTE")
+ASFREQ_WHOLE_SQL = ASFREQ_SQL.replace(_WEATHER, _WHOLE).replace("generate_series(a, b, INTERVAL 2 HOUR)", "generate_series(a, b, INTERVAL 30 MINUTE)")
+FFILL_WHOLE_SQL = FFILL_SQL.replace(_WEATHER, _WHOLE).replace("generate_series(a, b, INTERVAL 1 HOUR)", "generate_series(a, b, INTERVAL 30 MINUTE)")
+
+
 def _indexed(spark, d):
     return features.index_panel(hourly(spark, d), "direction", "hour")
 
@@ -337,6 +359,9 @@ QUERIES = {
     "resample_linear": (resample_linear, LINEAR_SQL),
     "resample_ffill": (resample_ffill, FFILL_SQL),
     "asfreq_grid": (asfreq_grid, ASFREQ_SQL),
+    "resample_linear_whole": (resample_linear_whole, LINEAR_WHOLE_SQL),
+    "resample_ffill_whole": (resample_ffill_whole, FFILL_WHOLE_SQL),
+    "asfreq_grid_whole": (asfreq_grid_whole, ASFREQ_WHOLE_SQL),
     "supervised_horizons": (supervised_horizons, f"WITH {_SUPERVISED} SELECT time_idx, node_idx, y, {', '.join(_TARGETS)} FROM su"),
     "supervised_by_time": (supervised_by_time, BY_TIME_SQL),
     "time_split": (time_split, SPLIT_SQL),
