@@ -181,6 +181,30 @@ MEAN_SQL = f"""WITH {READINGS}, {_EDGES}, sp AS (SELECT * FROM ed WHERE (src * 7
 SELECT s.station_id, {q("coalesce(avg(v.speed), 0)", "speed")}, {q("coalesce(avg(v.occupancy), 0)", "occupancy")} FROM s LEFT JOIN sp ON sp.src = s.station_id LEFT JOIN v ON v.station_id = sp.dst GROUP BY s.station_id"""
 
 
+def connected_components_whole(spark, d):
+    return graph.connected_components(_edges(spark, d), "src", "dst")
+
+
+def component_sizes_whole(spark, d):
+    return graph.component_sizes(connected_components_whole(spark, d))
+
+
+def degree_stats_whole(spark, d):
+    out = graph.degrees(_edges(spark, d), _nodes(spark, d))
+    return out.agg(quantize(F.avg("degree")).alias("mean"), F.max("degree").alias("largest"), F.count_if(F.col("degree") == 1).alias("ones"), F.count_if(F.col("degree") == 0).alias("isolated"))
+
+
+def neighbor_mean_whole(spark, d):
+    values = readings(spark, d).groupBy("station_id").agg(F.avg("speed").alias("speed"), F.avg("occupancy").alias("occupancy"))
+    out = graph.neighbour_aggregate(_edges(spark, d), values, ["speed", "occupancy"], key="station_id")
+    return out.select("station_id", *(quantize(F.col(c)).alias(c) for c in ("speed", "occupancy")))
+
+
+def _whole(sql: str) -> str:
+    """A query's SQL over all edges."""
+    return sql.replace("sp AS (SELECT * FROM ed WHERE (src * 7 + dst * 3) % 11 < 2)", "sp AS (SELECT * FROM ed)")
+
+
 def scatter_add(spark, d):
     rows = readings(spark, d).where("k % 7 = 0").select((F.col("station_id") % 60).alias("row"), F.col("k").cast("long").alias("k"))
     return graph.scatter_add(rows, stations(spark, d), ["k"], key="station_id")
@@ -228,6 +252,12 @@ def graph_gaps(spark, d):
 GAPS_SQL = f"WITH {_EDGES}, sp AS (SELECT * FROM ed WHERE (src * 7 + dst * 3) % 11 < 2) SELECT station_id FROM s WHERE station_id NOT IN (SELECT src FROM sp UNION ALL SELECT dst FROM sp)"
 
 
+def graph_gaps_whole(spark, d):
+    """Stations that no edge touches."""
+    touched = _edges(spark, d).select(F.explode(F.array("src", "dst")).alias("station_id"))
+    return tables.set_report(stations(spark, d).select("station_id"), touched, "station_id").where("side = 'left'").select("station_id")
+
+
 def edge_distance(spark, d):
     """Great-circle kilometres of the first generation's chain edges."""
     chain = graph.chain_edges(stations(spark, d), ["freeway"], "abs_pm")
@@ -255,6 +285,11 @@ QUERIES = {
     "component_sizes": (component_sizes, f"SELECT component, count(*) AS size FROM ({COMPONENT_SQL}) GROUP BY component"),
     "degree_stats": (degree_stats, DEGREE_SQL),
     "neighbor_mean": (neighbor_mean, MEAN_SQL),
+    "connected_components_whole": (connected_components_whole, None),
+    "component_sizes_whole": (component_sizes_whole, None),
+    "degree_stats_whole": (degree_stats_whole, _whole(DEGREE_SQL)),
+    "neighbor_mean_whole": (neighbor_mean_whole, _whole(MEAN_SQL)),
+    "graph_gaps_whole": (graph_gaps_whole, _whole(GAPS_SQL)),
     "scatter_add": (scatter_add, SCATTER_SQL),
     "fanout_sample": (fanout_sample, FANOUT_SQL),
     "fanout_hops": (fanout_hops, HOPS_SQL),

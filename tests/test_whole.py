@@ -1,12 +1,13 @@
 """The whole-table forms of queries whose SQL keeps a part of the rows."""
 
 import os
+from collections import Counter, defaultdict
 from datetime import timedelta
 
 import pytest
 
 from rillstone.plans import catalog
-from rillstone.plans.views import hourly
+from rillstone.plans.views import hourly, readings, stations
 
 SF = "/root/testdata/sf0.001"
 QUERIES = catalog.queries()
@@ -25,3 +26,38 @@ def test_resampling_takes_every_hour(spark):
         a, b = known[d, t - half], known[d, t + half]
         assert linear[d, t] == pytest.approx((a + b) / 2, abs=1e-5) and filled[d, t] == a and grid[d, t] is None
     assert all(grid[k] == filled[k] == y and linear[k] == pytest.approx(y, abs=1e-5) for k, y in known.items())
+
+
+@pytest.fixture(scope="module")
+def nearest(spark):
+    """Each station's five nearest, by brute force."""
+    at = {r.station_id: (r.gx, r.gy) for r in stations(spark, SF).collect()}
+    return {a: sorted((b for b in at if b != a), key=lambda b: ((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2, b))[:5] for a in at}
+
+
+def test_graph_queries_take_every_edge(spark, nearest):
+    both = defaultdict(set)
+    for a, near in nearest.items():
+        for b in near:
+            both[a].add(b)
+            both[b].add(a)
+    want = {}
+    for a in sorted(both):
+        front = [a] if a not in want else []
+        while front:
+            x = front.pop()
+            if x not in want:
+                want[x] = a
+                front += both[x]
+    assert {r.node: r.component for r in QUERIES["connected_components_whole"](spark, SF).collect()} == want
+    assert {r.component: r["size"] for r in QUERIES["component_sizes_whole"](spark, SF).collect()} == Counter(want.values())
+    degree = Counter(x for a, near in nearest.items() for b in near for x in (a, b))
+    row = QUERIES["degree_stats_whole"](spark, SF).first()
+    assert (row["mean"], row["largest"], row["ones"], row["isolated"]) == (10, max(degree.values()), 0, 0)
+    assert QUERIES["graph_gaps_whole"](spark, SF).collect() == []
+    sums = defaultdict(list)
+    for r in readings(spark, SF).select("station_id", "occupancy").collect():
+        sums[r.station_id].append(r.occupancy)
+    mean = {k: sum(v) / len(v) for k, v in sums.items()}
+    got = {r.station_id: r.occupancy for r in QUERIES["neighbor_mean_whole"](spark, SF).collect()}
+    assert got == {a: pytest.approx(sum(mean[b] for b in near) / 5, abs=1e-5) for a, near in nearest.items()}
