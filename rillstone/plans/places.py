@@ -92,6 +92,13 @@ INCIDENT_SQL = f"""WITH {READINGS}, {STATIONS}, ev AS (SELECT ts AS start_time,
 SELECT event_id, EXISTS (SELECT 1 FROM ev WHERE ts BETWEEN start_time AND end_time AND {_KM.format(a="s", b="ev")} <= 1) AS in_event FROM r JOIN s USING (station_id)"""
 
 
+def event_radius_range_join_whole(spark, d):
+    """Each reading over the logical bound is the start of an incident of ten hours near its station."""
+    at = readings(spark, d).where("mask_logic").join(stations(spark, d), "station_id")
+    incidents = at.select(F.col("ts").alias("start_time"), F.timestamp_add("HOUR", F.lit(10), F.col("ts")).alias("end_time"), (F.col("lat") + 0.003).alias("lat"), "lon")
+    return proximity.radius_range_join(readings(spark, d), stations(spark, d), incidents, 1.0, "ts").select("event_id", "in_event")
+
+
 def topology(spark, d):
     rows = stations(spark, d)
     meta = rows.select("station_id", F.when(F.col("station_id") % 10 != 3, F.col("gy").cast("double")).alias("lat"), F.col("gx").cast("double").alias("lon")).where("station_id % 13 <> 5")
@@ -276,6 +283,7 @@ QUERIES = {
     "weather_grid": (weather_grid, GRID_SQL),
     "nearest_cell": (nearest_cell, CELL_SQL),
     "event_radius_range_join": (event_radius_range_join, INCIDENT_SQL),
+    "event_radius_range_join_whole": (event_radius_range_join_whole, None),
     "topology": (topology, TOPOLOGY_SQL),
     "chain_edges_union": (chain_edges_union, CHAIN_SQL),
     "edge_lengths": (edge_lengths, f"WITH {_LENGTHS} SELECT src, dst, {q('length', 'length')} FROM le"),

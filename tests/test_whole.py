@@ -1,5 +1,6 @@
 """The whole-table forms of queries whose SQL keeps a part of the rows."""
 
+import math
 import os
 from collections import Counter, defaultdict
 from datetime import timedelta
@@ -61,3 +62,16 @@ def test_graph_queries_take_every_edge(spark, nearest):
     mean = {k: sum(v) / len(v) for k, v in sums.items()}
     got = {r.station_id: r.occupancy for r in QUERIES["neighbor_mean_whole"](spark, SF).collect()}
     assert got == {a: pytest.approx(sum(mean[b] for b in near) / 5, abs=1e-5) for a, near in nearest.items()}
+
+
+def test_incidents_are_all_readings_over_the_bound(spark):
+    at = {r.station_id: (math.radians(r.lat), math.radians(r.lon)) for r in stations(spark, SF).collect()}
+    rows = readings(spark, SF).select("event_id", "ts", "station_id", "mask_logic").collect()
+    starts = [(r.ts, at[r.station_id][0] + math.radians(0.003), at[r.station_id][1]) for r in rows if r.mask_logic]
+
+    def close(a, b, lat, lon):
+        return 2 * 6371 * math.asin(math.sqrt(math.sin((lat - a) / 2) ** 2 + math.cos(a) * math.cos(lat) * math.sin((lon - b) / 2) ** 2)) <= 1
+
+    want = {r.event_id: any(t <= r.ts <= t + timedelta(hours=10) and close(*at[r.station_id], lat, lon) for t, lat, lon in starts) for r in rows}
+    got = {r.event_id: r.in_event for r in QUERIES["event_radius_range_join_whole"](spark, SF).collect()}
+    assert got == want and all(got[r.event_id] for r in rows if r.mask_logic)
