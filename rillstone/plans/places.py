@@ -220,6 +220,14 @@ def scatter_add(spark, d):
 SCATTER_SQL = f"""WITH {READINGS}, {STATIONS} SELECT s.station_id, CAST(coalesce(sum(t.k), 0) AS BIGINT) AS k FROM s LEFT JOIN (SELECT station_id % 60 AS row, k FROM r WHERE k % 7 = 0) t ON t.row = s.station_id GROUP BY 1"""
 
 
+def scatter_add_whole(spark, d):
+    rows = readings(spark, d).select(F.col("station_id").alias("row"), F.col("k").cast("long").alias("k"))
+    return graph.scatter_add(rows, stations(spark, d), ["k"], key="station_id")
+
+
+SCATTER_WHOLE_SQL = f"WITH {READINGS} SELECT station_id, CAST(coalesce(sum(k), 0) AS BIGINT) AS k FROM r GROUP BY station_id"
+
+
 def fanout_sample(spark, d):
     return graph.sample_neighbours(_edges(spark, d), 3, 7)
 
@@ -299,6 +307,7 @@ QUERIES = {
     "neighbor_mean_whole": (neighbor_mean_whole, _whole(MEAN_SQL)),
     "graph_gaps_whole": (graph_gaps_whole, _whole(GAPS_SQL)),
     "scatter_add": (scatter_add, SCATTER_SQL),
+    "scatter_add_whole": (scatter_add_whole, SCATTER_WHOLE_SQL),
     "fanout_sample": (fanout_sample, FANOUT_SQL),
     "fanout_hops": (fanout_hops, HOPS_SQL),
     "induced_subgraph": (induced_subgraph, INDUCED_SQL),

@@ -75,3 +75,10 @@ def test_incidents_are_all_readings_over_the_bound(spark):
     want = {r.event_id: any(t <= r.ts <= t + timedelta(hours=10) and close(*at[r.station_id], lat, lon) for t, lat, lon in starts) for r in rows}
     got = {r.event_id: r.in_event for r in QUERIES["event_radius_range_join_whole"](spark, SF).collect()}
     assert got == want and all(got[r.event_id] for r in rows if r.mask_logic)
+
+
+def test_scatter_sums_every_reading(spark):
+    want = Counter()
+    for r in readings(spark, SF).select("station_id", "k").collect():
+        want[r.station_id] += r.k
+    assert {r.station_id: r.k for r in QUERIES["scatter_add_whole"](spark, SF).collect()} == dict(want)
