@@ -338,20 +338,25 @@ def _forest(spark, d):
     return rows
 
 
-def rf_baseline(spark, d):
-    rows = _forest(spark, d)
-    out = evaluate.forest_baseline(rows.where("split = 'train'"), rows.where("split = 'test'"), ["y", "slot", "weekday", "node"], "y_15min", 20, 8)
-    named = out.select(F.lit("15min").alias("horizon"), "prediction", F.col("y_15min").alias("truth"))
+def _each_horizon(rows, predicted):
+    """Pooled metrics of ``predicted(train, test, target)`` over all horizons."""
+    train, test, named = rows.where("split = 'train'"), rows.where("split = 'test'"), None
+    for h in DELTAS:
+        one = predicted(train, test, f"y_{h}").select(F.lit(h).alias("horizon"), "prediction", F.col(f"y_{h}").alias("truth"))
+        named = one if named is None else named.unionByName(one)
     return evaluate.pooled_metrics(named)
 
 
+def rf_baseline(spark, d):
+    return _each_horizon(_forest(spark, d), lambda train, test, target: evaluate.forest_baseline(train, test, ["y", "slot", "weekday", "node"], target))
+
+
 def neighbor_regression(spark, d):
     """The multi-head model's inputs without its training: own value and the mean of the other directions', by a linear model."""
     rows = _forest(spark, d)
     means = rows.groupBy("time_idx").agg(F.sum("y").alias("_s"), F.count("y").alias("_n"))
     joined = rows.join(means, "time_idx").withColumn("others", F.coalesce(F.try_divide(F.col("_s") - F.col("y"), (F.col("_n") - 1).cast("double")), F.lit(0.0)))
-    out = evaluate.graph_regression(joined.where("split = 'train'"), joined.where("split = 'test'"), ["y", "others", "slot", "weekday"], "y_15min")
-    return evaluate.pooled_metrics(out.select(F.lit("15min").alias("horizon"), "prediction", F.col("y_15min").alias("truth")))
+    return _each_horizon(joined, lambda train, test, target: evaluate.graph_regression(train, test, ["y", "others", "slot", "weekday"], target))
 
 
 QUERIES = {

@@ -82,3 +82,8 @@ def test_scatter_sums_every_reading(spark):
     for r in readings(spark, SF).select("station_id", "k").collect():
         want[r.station_id] += r.k
     assert {r.station_id: r.k for r in QUERIES["scatter_add_whole"](spark, SF).collect()} == dict(want)
+
+
+@pytest.mark.parametrize("name", ["rf_baseline", "neighbor_regression"])
+def test_models_report_every_horizon(spark, name):
+    assert {"5min", "15min", "30min"} <= {r.horizon for r in QUERIES[name](spark, SF).collect()}
