@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytehash import RangeHash, by_row, mix, spans
+from .bytehash import RangeHash, by_row, exact_ids, mix, spans
 from .common import durable, flat_bytes, text_slices
 
 WINDOW = 5
@@ -27,10 +27,35 @@ _ODD = np.random.default_rng(7).integers(1, 1 << 63, WINDOW, dtype=np.uint64) |
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def repeated_windows(words: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the window of ``WINDOW`` word ids at each place occurs at another place of its row."""
+    key = row[at].astype(np.uint64)
+    for k in range(WINDOW):
+        key = key * _ODD[k] + words[at + k].astype(np.uint64)
+    key = mix(key)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    maybe = np.zeros(len(at), bool)
+    maybe[order[1:][same]] = True
+    maybe[order[:-1][same]] = True
+    # those whose hash occurs twice are put in order by the ids themselves
+    some = np.flatnonzero(maybe)
+    columns = [words[at[some] + k] for k in range(WINDOW)] + [row[at[some]]]
+    order = np.lexsort(columns)
+    same = np.ones(max(0, len(some) - 1), bool)
+    for c in columns:
+        same &= c[order[1:]] == c[order[:-1]]
+    twice = np.zeros(len(at), bool)
+    twice[some[order[1:][same]]] = True
+    twice[some[order[:-1][same]]] = True
+    return twice
+
+
 def count_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The rule counts of each row of a flat byte array.
 
-    Words, lines and windows of five words are compared by 64-bit hashes within a text.
+    Words and lines get ids that are equal if and only if their bytes are; windows are put
+    together by a hash of their words' ids and then compared id by id.
     """
     rows = len(offsets) - 1
     if not len(data):
@@ -56,27 +81,17 @@ def count_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarra
     has = worded[line_end] > worded[line_start]
     line_start, line_end = line_start[has], line_end[has]
     line_row = np.searchsorted(offsets, line_start, "right") - 1
-    key = hashed(line_start, line_end) ^ mix(line_row.astype(np.uint64) + np.uint64(1))
-    _, first = np.unique(key, return_index=True)
+    line, _ = exact_ids(data, line_start, line_end, hashed(line_start, line_end))
+    _, first = np.unique(line * rows + line_row, return_index=True)
     out["n_dup_lines"] = np.bincount(line_row, minlength=rows) - np.bincount(line_row[first], minlength=rows)
 
     # words in windows that occur twice or more in their text
     repeated = np.zeros(len(start) + 1, np.int64)
     if len(start) >= WINDOW:
-        words = hashed(start, end)
+        words, _ = exact_ids(data, start, end, hashed(start, end))
         n = len(start) - WINDOW + 1
-        key = mix(row[:n].astype(np.uint64) + np.uint64(1))
-        for k in range(WINDOW):
-            key = key + words[k : k + n] * _ODD[k]
-        key = mix(key)
         whole = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
-        key = key[whole]
-        order = np.argsort(key)
-        ranked = key[order]
-        same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(key), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+        twice = repeated_windows(words, row, whole)
         at = whole[twice]
         np.add.at(repeated, at, 1)
         np.add.at(repeated, at + WINDOW, -1)
@@ -117,7 +132,7 @@ def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per input row: doc_id, n_words, the four counts, base_failed, kept, host_rate.
+    """One row per input row: doc_id, n_words, the four counts, base_failed, kept, host_rate (the host's shrunk failure rate).
 
     A document is kept if it passes the base rules and its host isn't rejected. Null and empty
     texts have no words and fail. Repeated rows are judged each. A null host is one host. An
@@ -127,12 +142,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rules = durable(document_rules(docs, id_col, text_col, host_col))
     hosts = host_verdicts(rules, max_rate).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "rejected")
     return rules.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).select(
-        "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept")
+        "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"), "host_rate"
     )
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("host_rate")
 
 
 OP4_SQL = r"""

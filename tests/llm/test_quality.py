@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 from rillstone.llm.quality import quality_rules
 
 
@@ -37,5 +39,46 @@ def test_bad_host_is_rejected(make_docs):
     assert not any(got[i] for i in range(400)) and all(got[i] for i in range(400, 1000))
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_strings_that_collide_modulo_a_power_of_two(make_docs):
+    from tests.llm.conftest import rows_of
+
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    texts = [f"{x}\n{y}", f"{x}\n{y}\n{x}", f"1 2 {x} 3 4 . 1 2 {y} 3 4", f"1 2 {x} 3 4 . 1 2 {x} 3 4"]
+    got = {r.doc_id: r for r in quality_rules(make_docs(rows_of(texts))).collect()}
+    assert [got[i].n_dup_lines for i in range(4)] == [0, 1, 0, 0] and [got[i].n_repeat_words for i in range(4)] == [0, 0, 0, 10]
+
+
+def test_bytes_decide_when_all_hashes_are_equal(monkeypatch):
+    from rillstone.llm import bytehash, quality
+
+    class Same(bytehash.RangeHash):
+        def __call__(self, start, end):
+            return super().__call__(start, end) * np.uint64(0)
+
+    monkeypatch.setattr(quality, "RangeHash", Same)
+    monkeypatch.setattr(quality, "mix", lambda x: x * np.uint64(0))
+    for text in [*TEXTS, "p q r\ns t u\np q r\nab\nab\nba"]:
+        data = text.encode()
+        got = quality.count_features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert tuple(int(got[k][0]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute(text)[:5]
+
+
+def test_host_rates_by_hand(make_docs):
+    good = "one two three four five six seven eight nine ten eleven"
+    rows = [(10 * h + i, "bad" if i < f else good, None, f"host{h}", 1, 1, True, 1, "", "", 0.0, "") for h, f in enumerate([0, 1, 9, 3]) for i in range(10)]
+    rates = [0.0, 0.1, 0.9, 0.3]
+    m = sum(rates) / 4
+    v = sum((x - m) ** 2 for x in rates) / 3
+    w = m * (1 - m) / v - 1
+    want = [((f + m * w) / (10 + w)) for f in (0, 1, 9, 3)] if w > 0 else [(f + 1) / 12 for f in (0, 1, 9, 3)]
+    got = quality_rules(make_docs(rows)).collect()
+    assert all(abs(r.host_rate - want[r.doc_id // 10]) < 1e-12 and r.kept == (not r.base_failed and want[r.doc_id // 10] <= 0.5) for r in got)
+    assert {r.doc_id // 10 for r in got if not r.base_failed and not r.kept} == {2}
+
+
 def test_empty_table(make_docs):
     assert quality_rules(make_docs([])).collect() == []
