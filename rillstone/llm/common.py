@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from rillstone.storage import durable, shared_dir
 
-__all__ = ["SLICE_BYTES", "content_key", "durable", "flat_bytes", "held_out", "shared_dir", "spare_name", "text_or_empty", "text_slices", "train_fold"]
+__all__ = ["SLICE_BYTES", "content_key", "durable", "flat_bytes", "held_out", "numbered", "shared_dir", "sized_join", "spare_name", "text_or_empty", "text_slices", "train_fold"]
 
+#: A table is broadcast only if it is counted to have at most so many rows (of some 200 bytes at most).
+BROADCAST_ROWS = 200_000
 #: Python works on at most this many text bytes at a time (one longer text goes alone).
 SLICE_BYTES = 2 << 20
 
@@ -28,9 +30,29 @@ def spare_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a column that names each row, the same whenever it is evaluated.
+
+    Rows of a plain Parquet scan are named by file and place in it. Rows of any other plan may come
+    in another order next time, so these are numbered in a durable copy.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and "_metadata" not in map(str.lower, docs.columns):
+        if plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat":
+            return docs.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias(row))
+    return durable(docs.select("*", F.monotonically_increasing_id().alias(row)))
+
+
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, weight: Column | None = None, most: int | None = None) -> DataFrame:
+    """A join whose right side, a durable table of narrow rows, is counted (or its ``weight`` summed) first:
+    up to ``BROADCAST_ROWS`` it is broadcast and the left side stays where it is, beyond both are sorted."""
+    size = right.count() if weight is None else right.agg(F.sum(weight)).first()[0] or 0
+    return left.join(F.broadcast(right) if size <= (BROADCAST_ROWS if most is None else most) else right.hint("merge"), on, how)
+
+
 def content_key(text: Column) -> Column:
-    """128 bits that name a text."""
-    return F.unhex(F.md5(text))
+    """128 bits that name a text: the first half of its SHA-256 (nobody knows two texts that share it)."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 def train_fold(doc_id: Column) -> Column:

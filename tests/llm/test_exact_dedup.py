@@ -2,6 +2,9 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from rillstone.llm.exact_dedup import exact_dedup, keep_documents
 
 
@@ -28,6 +31,17 @@ def test_edges(make_docs, edge_rows):
     assert len(kept) == len({r.text_sha256 for r in got}) and all(r.doc_id == r.keep_id for r in kept)
 
 
+@pytest.mark.parametrize("hash_of", [lambda t: F.unhex(F.lit("00" * 16)), lambda t: F.unhex(F.lpad(F.hex(F.length(t) % 3), 32, "0"))])
+def test_collisions_of_all_128_bits(make_docs, edge_rows, hash_of):
+    """Different texts under one hash: the bytes decide, as brute force does."""
+    from tests.llm.conftest import rows_of
+
+    rows = edge_rows + rows_of(["same", "sa me", "diff", "d iff", "else", "e l s e", "else"], 50)
+    got = exact_dedup(make_docs(rows), hash_of=hash_of).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute([r[:2] for r in rows])
+    assert sum(r.kept for r in got) == len({norm(r[1]) for r in rows}) and all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
 def test_empty_table(make_docs):
     assert exact_dedup(make_docs([])).collect() == []
     assert keep_documents(make_docs([])).collect() == []
