@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from rillstone.operators.components import connected_components
 
-from .bytehash import RangeHash, mix, spans
-from .common import content_key, durable, flat_bytes, spare_name, text_or_empty, text_slices
+from .bytehash import RangeHash, mix, spans, word_digests
+from .common import content_key, durable, flat_bytes, numbered, sized_join, spare_name, text_or_empty, text_slices
 
 WORDS = 5
 #: Sets are linked with a similarity of at least 4/5; kept as a fraction for exact tests.
@@ -37,8 +37,12 @@ TOKENS = 48
 SLACK = 4.5
 #: Sets of a large bucket that are looked at to tell whether its sets are alike. This decides only how candidates are grouped.
 SAMPLE = 32
-#: Sets of a block in the exact comparison.
+#: Sets and shingles of a block in the exact comparison (on average; one larger set is a block of its own).
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 20
+#: Rows and shingle columns of the matrices that a task holds besides the counts of two blocks.
+STRIP = 256
+WIDTH = 1024
 
 _FOLD = np.zeros(256, np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
@@ -61,6 +65,19 @@ def runs_for(recall: float, threshold: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - run_recall(threshold)))
 
 
+def least_share(threshold: float) -> float:
+    """The share of equal sketch tokens from which a pair is a candidate."""
+    return max(0.0, threshold - SLACK * math.sqrt(threshold * (1 - threshold) / TOKENS))
+
+
+def pair_recall(recall: float, threshold: float) -> float:
+    """The chance that a pair at the threshold becomes a candidate: the runs bring it together, and its
+    sketches agree in enough tokens. More similar pairs have a higher one."""
+    least = math.ceil(least_share(threshold) * TOKENS)
+    agree = sum(math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k) for k in range(least, TOKENS + 1))
+    return recall * agree
+
+
 RUNS = runs_for(RECALL, THRESHOLD[0] / THRESHOLD[1])
 
 
@@ -75,7 +92,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[
     row = np.searchsorted(offsets, start, "right") - 1
     if not len(start):
         return row, np.zeros(0, np.uint64)
-    word = RangeHash(folded)(start, end)
+    word = word_digests(folded, start, end, RangeHash(folded)(start, end))
     count = np.bincount(row, minlength=len(offsets) - 1)
     padded = np.concatenate([word, np.zeros(size, np.uint64)])
     rows = np.concatenate([row, np.full(size, -1)])
@@ -127,14 +144,14 @@ def _forest(near: np.ndarray) -> np.ndarray:
     """The least connected index of each index of a symmetric boolean matrix with a true diagonal."""
     label = np.arange(len(near))
     while True:
-        new = np.where(near, label[None, :], len(near)).min(1)
+        new = np.concatenate([np.where(near[at : at + STRIP], label[None, :], len(near)).min(1) for at in range(0, len(near), STRIP)])
         new = np.minimum(new, new[new])
         if (new == label).all():
             return label
         label = new
 
 
-def _bucket_edges(least_share, ratio):
+def _bucket_edges(share_needed, ratio):
     """Star edges between the sets of a bucket whose sketches and sizes are close enough; rows come sorted by bucket."""
 
     def solve(sets, sketches, sizes):
@@ -145,7 +162,7 @@ def _bucket_edges(least_share, ratio):
         share = np.zeros((len(sets), len(sets)), np.int32)
         for k in range(TOKENS):
             share += s[:, k, None] == s[None, :, k]
-        near = (share >= least_share * TOKENS) & (np.minimum(size[:, None], size) >= ratio * np.maximum(size[:, None], size))
+        near = (share >= share_needed * TOKENS) & (np.minimum(size[:, None], size) >= ratio * np.maximum(size[:, None], size))
         label = _forest(near | np.eye(len(sets), dtype=bool))
         for i in np.flatnonzero(label != np.arange(len(sets))):
             yield sets[i], sets[label[i]]
@@ -168,8 +185,8 @@ def _bucket_edges(least_share, ratio):
     return run
 
 
-def _alike(least_share):
-    """Whether the sketches of a bucket's sample agree in at least ``least_share`` of their tokens on average."""
+def _alike(share_needed):
+    """Whether the sketches of a bucket's sample agree in at least ``share_needed`` of their tokens on average."""
 
     def run(batches):
         for batch in batches:
@@ -178,7 +195,7 @@ def _alike(least_share):
                 s = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sketches), TOKENS)
                 n = len(s)
                 same = sum((np.unique(column, return_counts=True)[1] ** 2).sum() for column in s.T) - n * TOKENS
-                whole.append(bool(n > 1 and same >= least_share * n * (n - 1) * TOKENS))
+                whole.append(bool(n > 1 and same >= share_needed * n * (n - 1) * TOKENS))
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("hub"), pa.array(whole)], ["path", "hub", "whole"])
 
     return run
@@ -186,7 +203,7 @@ def _alike(least_share):
 
 def candidate_edges(sets: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
     """(a, b): edges that connect, but needn't pair, all sets that the runs bring together."""
-    share = max(0.0, threshold - SLACK * math.sqrt(threshold * (1 - threshold) / TOKENS))
+    share = least_share(threshold)
     slim = sets.select("set", "size", "sketch")
     nodes = sets.select(F.posexplode("tokens").alias("run", "token"), "set").select(F.xxhash64("run", "token").alias("path"), "set")
     compare, edges = [], []
@@ -237,7 +254,8 @@ def exact_links(names: list[bytes], sets: list[np.ndarray], left: np.ndarray, ri
     """Each set's number of links from ``left`` to ``right`` sets, and its least linked index.
 
     Intersections are counted by matrix products over the shingles that occur in two sets or
-    more, some thousands of columns at a time.
+    more, ``WIDTH`` columns and ``STRIP`` rows at a time; only the counts (4 bytes a pair) and
+    the links (1 byte) are held whole.
     """
     n = len(sets)
     sizes = np.array(list(map(len, sets)), np.int64)
@@ -251,20 +269,23 @@ def exact_links(names: list[bytes], sets: list[np.ndarray], left: np.ndarray, ri
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     inter = np.zeros((n, n), np.float32)
-    width = 4096
-    for lo in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(column, [lo, lo + width])
+    for lo in range(0, int(shared.sum()), WIDTH):
+        a, b = np.searchsorted(column, [lo, lo + WIDTH])
         used = np.unique(owner[a:b])
-        dense = np.zeros((len(used), width), np.float32)
+        dense = np.zeros((len(used), WIDTH), np.float32)
         dense[np.searchsorted(used, owner[a:b]), column[a:b] - lo] = 1
-        inter[np.ix_(used, used)] += dense @ dense.T
-    inter = inter.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - inter
-    near = threshold[1] * inter >= threshold[0] * union
-    near &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
+        for at in range(0, len(used), STRIP):
+            inter[np.ix_(used[at : at + STRIP], used)] += dense[at : at + STRIP] @ dense.T
+    near = np.zeros((n, n), bool)
+    for at in range(0, n, STRIP):
+        some = slice(at, at + STRIP)
+        shares = inter[some].astype(np.int64)
+        near[some] = threshold[1] * shares >= threshold[0] * (sizes[some, None] + sizes[None, :] - shares)
+        near[some] &= (left[some, None] & right[None, :]) | (right[some, None] & left[None, :])
     np.fill_diagonal(near, False)
     degree = near.sum(1)
-    return degree, _forest(near | np.eye(n, dtype=bool))
+    np.fill_diagonal(near, True)
+    return degree, _forest(near)
 
 
 def _verify(threshold):
@@ -307,8 +328,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one shingle; null texts and texts without a word have none, belong to no one's class and
     get their own doc_id. Repeated rows are copies. An empty table gives an empty result.
 
-    All links of a candidate group are counted, in blocks of ``block`` sets, so a group of g
-    sets costs g/block copies of its shingles and no row per pair.
+    All links of a candidate group are counted, in blocks of ``block`` sets and ``BLOCK_SHINGLES``
+    shingles, so a group of g sets costs g/block copies of its shingles and no row per pair.
+    A pair at the threshold is a candidate with chance ``pair_recall(RECALL, threshold)``.
     """
     share = threshold[0] / threshold[1]
     number = [F.col(row).alias("_row")] if row else []
@@ -320,9 +342,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = durable(connected_components(candidate_edges(sets, share, small)).select(F.col("node").alias("set"), "component"))
 
     # all shingles of the candidates, one text for each set
-    blocks = components.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).select("component", F.ceil(F.col("_n") / block).cast("int").alias("blocks"))
-    wanted = components.join(blocks, "component").join(sets.select("set", "key"), "set")
-    texts = keyed.select("key", "text").join(wanted, "key").dropDuplicates(["set"])
+    members = durable(components.join(sets.select("set", "key", "size"), "set"))
+    dealt = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    wanted = durable(members.join(members.groupBy("component").agg(dealt.alias("blocks")), "component").select("key", "set", "component", "blocks"))
+    texts = sized_join(keyed.select("key", "text"), wanted, "key", "inner").dropDuplicates(["set"])
     full = texts.select("component", "set", "blocks", "text").mapInArrow(_shingle_sets(words), "component binary, set binary, blocks int, shingles binary")
     full = full.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -352,13 +375,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows, one of each class: that with the least id, then the first in the input. Wordless rows stay."""
     row = spare_name(docs, "_row")
-    numbered = durable(docs.select("*", F.monotonically_increasing_id().alias(row)))
-    classes = durable(jaccard_classes(numbered, id_col, text_col, row=row))
+    named = numbered(docs, row)
+    classes = durable(jaccard_classes(named, id_col, text_col, row=row))
     grouped = classes.where("n_links > 0 OR n_copies > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row"))
     best = grouped.groupBy("_class").agg(first.alias("_best")).select(F.col("_best._row").alias("_row"))
-    dropped = grouped.join(best, "_row", "left_anti").select(F.col("_row").alias(row))
-    return numbered.join(dropped, row, "left_anti").select(*docs.columns)
+    dropped = durable(grouped.join(best, "_row", "left_anti").select(F.col("_row").alias(row)))
+    return sized_join(named, dropped, row, "left_anti").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

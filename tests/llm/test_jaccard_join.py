@@ -1,10 +1,11 @@
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from rillstone.llm.jaccard_join import RECALL, RUNS, jaccard_classes, keep_one, run_recall
+from rillstone.llm.jaccard_join import RECALL, RUNS, exact_links, jaccard_classes, keep_one, pair_recall, run_recall
 
 
 def sets_of(texts):
@@ -48,6 +49,68 @@ def test_recall_of_runs():
     assert 1 - (1 - run_recall(0.8)) ** RUNS >= RECALL
 
 
+def test_recall_of_pairs():
+    assert 0.99997 < pair_recall(RECALL, 0.8) < RECALL
+
+
+def test_measured_recall_on_a_table(spark):
+    """Every link of a whole table with edited copies around the threshold, by an inverted index over shingles, is found."""
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    for i, text in rows[:600]:
+        words = (text or "").split()
+        for k in range(2):
+            edited = list(words)
+            for at in range(0, len(words), rng.randint(44, 60)):  # one word in some 50 is five shingles in 50
+                edited[at] = f"x{i}y{k}"
+            rows.append((10_000 + 2 * i + k, " ".join(edited)))
+    kinds = {}
+    for (i, _), s in zip(rows, sets_of([t for _, t in rows]), strict=True):
+        if s:
+            kinds.setdefault(s, []).append(i)
+    holders, links = defaultdict(list), defaultdict(int)
+    for k, s in enumerate(kinds):
+        for gram in s:
+            holders[gram].append(k)
+    sets = list(kinds)
+    common = Counter((a, b) for ks in holders.values() for n, a in enumerate(ks) for b in ks[n + 1 :])
+    for (a, b), n in common.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+    want = {i: links[k] for k, s in enumerate(sets) for i in kinds[s]}
+    got = {r.doc_id: r.n_links for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(links.values()) > 500 and {i: got[i] for i in want} == want
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    morse = lambda a, b: "".join(b if bin(i).count("1") % 2 else a for i in range(512))
+    rows = [(1, morse("c", "x")), (2, morse("x", "c")), (3, morse("c", "x"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([tuple(r) for r in jaccard_classes(docs).collect()]) == brute(rows) == [(1, 1, 0, 1), (2, 2, 0, 0), (3, 1, 0, 1)]
+
+
+def test_exact_links_in_strips():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, 30)).astype(np.uint64) for _ in range(600)]
+    left = rng.random(600) < 0.5
+    degree, label = exact_links([b""] * 600, sets, left, ~left, (3, 5))
+    plain = [set(s.tolist()) for s in sets]
+    near = [[b for b in range(600) if left[a] != left[b] and 5 * len(plain[a] & plain[b]) >= 3 * len(plain[a] | plain[b])] for a in range(600)]
+    assert degree.tolist() == [len(x) for x in near]
+    assert all(label[a] == label[b] for a in range(600) for b in near[a])
+
+
+def test_one_very_long_word(spark):
+    rows = [(1, "z" * 300_000), (2, "z" * 300_000 + "y"), (3, "z" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([tuple(r) for r in jaccard_classes(docs).collect()]) == brute(rows)
+
+
+def test_empty_table_keeps_nothing(make_docs):
+    assert keep_one(make_docs([])).collect() == []
+
+
 @pytest.mark.parametrize(("small", "block"), [(128, 2048), (3, 4)])
 def test_brute_force(spark, small, block):
     rows = near_copies(small)
