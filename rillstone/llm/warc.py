@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
+import re
 import uuid
 import zlib
 from urllib.parse import quote
@@ -14,7 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir, text_or_empty
+from .common import durable, shared_dir, sized_join, text_or_empty
 
 #: An archive is closed once it holds this many bytes.
 ARCHIVE_BYTES = 64 << 20
@@ -23,8 +25,13 @@ GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 0
+#: A task reads at most so many bytes of archives; with fewer bytes in all, as many tasks share them as run at a time.
+TASK_BYTES = 64 << 20
+LEAST_TASK_BYTES = 1 << 20
 
 _RECORD = "urn:rillstone:page:"
+#: A URL of these characters stands in its header line as it is.
+_PLAIN_URL = re.compile(r"[!-~\xa1-\U0010ffff]+")
 INDEX = "page_id long, url string, archive string, offset long, length long, payload_digest string, record_type string"
 
 
@@ -32,22 +39,38 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def format_record(page_id, url, payload: bytes, refers_to=None, revisit: bool = False, name: str = "") -> bytes:
-    """One gzip member with a response record, or a revisit record that carries no payload."""
+def record_id(page_id, payload_digest: str) -> str:
+    """Names a page's record. A payload's responses all have its least page_id, so revisits can name one before it is written."""
+    return f"<{_RECORD}{page_id}:{payload_digest}>"
+
+
+def format_record(page_id, url, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
+    """One gzip member with a response record, or a revisit record that carries no payload.
+
+    A URL that can't stand in a header line is percent-encoded there, and a line of its own keeps it exactly.
+    """
+    digest = _digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{_RECORD}{page_id}:{name}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    if url is not None and _PLAIN_URL.fullmatch(url):
+        lines.append(f"WARC-Target-URI: {url}")
+    elif url is not None:
+        lines += [f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}", f"X-Exact-URL: {json.dumps(url)}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_RECORD}{refers_to}>"]
-    lines += [f"WARC-Payload-Digest: sha1:{_digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     head = "\r\n".join(lines).encode() + b"\r\n\r\n"
     return gzip.compress(head + block + b"\r\n\r\n", 6, mtime=0)
 
 
+def _page_of(name: str | None) -> int | None:
+    page = (name or f"<{_RECORD}None:>").strip("<>").removeprefix(_RECORD).split(":")[0]
+    return None if page == "None" else int(page)
+
+
 def parse_record(member: bytes) -> dict:
-    """Of one gzip member: page_id, url, record_type, refers_to, payload (None in a revisit), payload_bytes, payload_digest."""
+    """Of one gzip member: record_id, refers_to_id, page_id, url, record_type, refers_to, payload (None in a revisit), payload_bytes, payload_digest."""
     head, rest = zlib.decompress(member, 31).split(b"\r\n\r\n", 1)
     first, *lines = head.decode().split("\r\n")
     if not first.startswith("WARC/"):
@@ -59,10 +82,9 @@ def parse_record(member: bytes) -> dict:
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response" and (len(payload) != size or _digest(payload) != digest):
         raise ValueError(f"damaged payload of {fields['WARC-Record-ID']}")
-    number = lambda x: None if x is None or x == "None" else int(x)
-    page = fields["WARC-Record-ID"].strip("<>").removeprefix(_RECORD).split(":")[0]
-    refers = fields.get("WARC-Refers-To", "<None>").strip("<>").removeprefix(_RECORD)
-    return {"page_id": number(page), "url": fields.get("WARC-Target-URI"), "record_type": kind, "refers_to": number(refers), "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest}
+    name, refers = fields["WARC-Record-ID"], fields.get("WARC-Refers-To")
+    url = json.loads(fields["X-Exact-URL"]) if "X-Exact-URL" in fields else fields.get("WARC-Target-URI")
+    return {"record_id": name, "refers_to_id": refers, "page_id": _page_of(name), "url": url, "record_type": kind, "refers_to": _page_of(refers), "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest}
 
 
 def with_record_types(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -70,15 +92,16 @@ def with_record_types(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> D
 
     Of the rows whose payloads are equal and of at least ``min_bytes`` bytes, those with the
     smallest page_id are responses and the others revisit it; a row without an id revisits if
-    any row of its payload has one. Counts and least ids by digest are aggregated before the
-    shuffle; only payloads that occur twice are joined by digest.
+    any row of its payload has one. Payloads are equal when their SHA-256 are. Counts and least
+    ids by digest are aggregated before the shuffle; the digests that occur twice are a written
+    table, and payloads move only if it is too large to be broadcast.
     """
     rows = pages.select("page_id", "url", text_or_empty("html").alias("payload"))
     rows = rows.withColumn("_sha", F.unhex(F.sha2("payload", 256)))
     shared = (
         rows.where(F.octet_length("payload") >= min_bytes).groupBy("_sha").agg(F.count(F.lit(1)).alias("_n"), F.min("page_id").alias("_least")).where("_n > 1").select("_sha", "_least")
     )
-    joined = rows.join(shared, "_sha", "left")
+    joined = sized_join(rows, durable(shared), "_sha", "left")
     revisit = F.col("_least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_least"))
     return joined.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("_least")).alias("refers_to"))
 
@@ -102,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
                     path = f"{root}/{name}.warc.gz"
                     out = files.open_output_stream(path, compression=None)
                 payload = row["payload"].encode()
-                member = format_record(row["page_id"], row["url"], payload, row["refers_to"], row["revisit"], f"{name}-{at}")
+                member = format_record(row["page_id"], row["url"], payload, row["refers_to"], row["revisit"])
                 out.write(member)
                 index.append((row["page_id"], row["url"], f"{name}.warc.gz", at, len(member), _digest(payload), "revisit" if row["revisit"] else "response"))
                 at += len(member)
@@ -119,10 +142,13 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
 def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of the index's rows, read back from the archives.
 
-    Rows are sorted by archive and offset over all partitions; neighbouring ranges are read at
-    once. Returns page_id, url, record_type, refers_to, payload_bytes, payload_digest and the
-    payload (null in a revisit).
+    Rows are sorted by archive and offset over all partitions, whose number comes from the bytes
+    to read and not from those of the index; neighbouring ranges are read at once. Returns
+    page_id, url, record_type, refers_to, payload_bytes, payload_digest, record_id, refers_to_id
+    and the payload (null in a revisit).
     """
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, total // LEAST_TASK_BYTES))
 
     def members(batches):
         files, root = pafs.FileSystem.from_uri(folder)
@@ -145,7 +171,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
         if run:
             yield from flush()
 
-    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * with_payload]
+    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "record_id", "refers_to_id", *["payload"] * with_payload]
     types = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
 
     def run(batches):
@@ -158,8 +184,8 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
                 held, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], types.get(k, pa.string())) for k in names], names)
 
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
-    ranged = index.select("archive", "offset", "length").repartitionByRange(F.col("archive"), F.col("offset")).sortWithinPartitions("archive", "offset")
+    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, refers_to_id string" + ", payload binary" * with_payload
+    ranged = index.select("archive", "offset", "length").repartitionByRange(tasks, F.col("archive"), F.col("offset")).sortWithinPartitions("archive", "offset")
     return ranged.mapInArrow(run, schema)
 
 
@@ -167,8 +193,8 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
     """Per input row page_id, payload_bytes, payload_digest, record_type, refers_to, as read back.
 
     A null html is an empty payload; a null url has no target line; empty payloads are equal to
-    one another. Of repeated rows with the smallest id all are responses. An empty table gives
-    an empty result. Columns other than page_id, url and html are ignored.
+    one another. Of repeated rows with the smallest id all are responses, the same record under
+    one id. Any URL comes back as it was. An empty table gives an empty result. Columns other than page_id, url and html are ignored.
     """
     folder = shared_dir(pages.sparkSession)
     index = write_archives(pages, folder, min_bytes)
