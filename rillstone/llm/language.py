@@ -6,19 +6,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytehash import RangeHash, mix, spans
-from .common import flat_bytes, held_out, text_slices, train_fold
+from .common import durable, flat_bytes, held_out, sized_join, text_slices, train_fold
 
 BUCKETS_LOG2 = 17
-#: The model learns from at most this many rows of the training fold, those with the smallest hashes of their ids.
+#: The model learns from about this many rows of the training fold, as many of each language, those
+#: with the smallest hashes of their ids ...
 SAMPLE_ROWS = 2000
-#: Only texts of at most so many characters are learned from, which bounds the sample's bytes.
+#: ... but from so many rows of a language if it has them, so that with many languages none goes without.
+LEAST_ROWS = 20
+#: Only texts of at most so many characters are learned from, which bounds the sample's bytes; a language
+#: that has none but longer ones learns from these, cut.
 SAMPLE_CHARS = 20_000
-#: More languages than this aren't learned (the most frequent of the sample stay).
-MAX_LANGUAGES = 64
 #: Words that are scored at a time, and the words of a block in forward-backward.
 GROUP_WORDS = 1 << 20
 BLOCK = 256
@@ -43,34 +45,41 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     n = len(start)
     if not n:
         return row, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = RangeHash(folded)
     size = end - start
     every = np.arange(n)
-    hashes, words = [h(start, end) + np.uint64(1)], [every]
+    # 1 to 4 bytes from each place, packed into one number
+    packed = [folded.astype(np.uint64)]
+    for k in (1, 2, 3):
+        packed.append((packed[-1][: len(data) - k] << np.uint64(8)) | packed[0][k:])
+    kind = lambda x, k: x | np.uint64(k << 40)
+    keys, words = [RangeHash(folded)(start, end)], [every]
     for k in (1, 2, 3):
         has = np.flatnonzero(size > k)
-        hashes += [mix(h(start[has], start[has] + k) + np.uint64(10 + k)), mix(h(end[has] - k, end[has]) + np.uint64(20 + k))]
+        keys += [kind(packed[k - 1][start[has]], 10 + k), kind(packed[k - 1][end[has] - k], 20 + k)]
         words += [has, has]
     for k in (2, 3, 4):
         times = np.maximum(size - k + 1, 0)
         which = np.repeat(every, times)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + start[which]
-        hashes.append(h(at, at + k) + np.uint64(30 + k))
+        at = np.arange(len(which)) + np.repeat(start - np.cumsum(times) + times, times)
+        keys.append(kind(packed[k - 1][at], 30 + k))
         words.append(which)
-    bucket = (mix(np.concatenate(hashes)) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
+    bucket = (mix(np.concatenate(keys)) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
     return row, bucket, np.concatenate(words)
 
 
 @dataclass
 class Crf:
     languages: list[str]
-    #: (2**BUCKETS_LOG2, languages): a feature's score for each label.
+    #: (used buckets + 1, languages): a feature's score for each label; the first row, zeros, is for buckets that weren't learned.
     emission: np.ndarray
     #: (languages, languages): score of a label after another; and of a first label.
     transition: np.ndarray
     first: np.ndarray
+    #: (2**BUCKETS_LOG2): the row of each bucket.
+    place: np.ndarray
 
     def word_scores(self, n: int, bucket: np.ndarray, word: np.ndarray) -> np.ndarray:
+        bucket = self.place[bucket]
         return np.stack([np.bincount(word, self.emission[bucket, k], n) for k in range(len(self.languages))], 1)
 
 
@@ -156,20 +165,23 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 300, batch: int = 64,
     A document's words all have its language. So that transitions are learned from switches
     too, a training sequence joins runs of words of other documents with chance ``switch``.
     """
-    names, counts = np.unique(np.array(langs, object).astype(str), return_counts=True) if langs else (np.zeros(0), np.zeros(0))
-    names = sorted(names[np.argsort(-counts, kind="stable")][:MAX_LANGUAGES].tolist())
+    names = sorted(set(langs))
     if not names:
         return None
     pool = []
     for text, lang in zip(texts, langs, strict=True):
-        if lang not in names:
-            continue
         row, bucket, word = word_features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         if len(row):
             order = np.argsort(word, kind="stable")
             pool.append((names.index(lang), bucket[order], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(row)))])))
     size = len(names)
-    crf = Crf(names, np.zeros((1 << BUCKETS_LOG2, size)), np.zeros((size, size)), np.zeros(size))
+    used = np.unique(np.concatenate([b for _, b, _ in pool])) if pool else np.zeros(0, np.int64)
+    place = np.zeros(1 << BUCKETS_LOG2, np.int32)
+    place[used] = np.arange(1, len(used) + 1)
+    pool = [(label, place[b], ends) for label, b, ends in pool]
+    by_label = [[k for k, p in enumerate(pool) if p[0] == label] for label in range(size)]
+    by_label = [ks for ks in by_label if ks]
+    crf = Crf(names, np.zeros((len(used) + 1, size)), np.zeros((size, size)), np.zeros(size), place)
     if not pool or size == 1:
         return crf
     rng = np.random.default_rng(seed)
@@ -181,7 +193,8 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 300, batch: int = 64,
             left = length
             while left:
                 take = left if rng.random() >= switch else int(rng.integers(1, left + 1))
-                label, buckets, ends = pool[rng.integers(len(pool))]
+                ks = by_label[rng.integers(len(by_label))]
+                label, buckets, ends = pool[ks[rng.integers(len(ks))]]
                 take = min(take, len(ends) - 1)
                 at = int(rng.integers(0, len(ends) - take))
                 bucket.append(buckets[ends[at] : ends[at + take]])
@@ -190,7 +203,7 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 300, batch: int = 64,
                 n += take
                 left -= take
         bucket, word, gold = np.concatenate(bucket), np.concatenate(word), np.array(gold)
-        scores = crf.word_scores(n, bucket, word)
+        scores = np.stack([np.bincount(word, crf.emission[bucket, k], n) for k in range(size)], 1)
         post, pair = _pair_marginals(scores.reshape(batch, length, size), crf.transition, crf.first)
         error = post.reshape(n, size)
         truth = gold.reshape(batch, length)
@@ -200,8 +213,8 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 300, batch: int = 64,
         grad_transition = (pair - seen) / batch
         error = error.copy()
         error[np.arange(n), gold] -= 1
-        used, place = np.unique(bucket, return_inverse=True)
-        grad = np.stack([np.bincount(place, error[word, k], len(used)) for k in range(size)], 1) / batch + decay * crf.emission[used]
+        used, at = np.unique(bucket, return_inverse=True)
+        grad = np.stack([np.bincount(at, error[word, k], len(used)) for k in range(size)], 1) / batch + decay * crf.emission[used]
         square[used] += grad * grad  # Adagrad on the sparse part
         crf.emission[used] -= rate * grad / (np.sqrt(square[used]) + 1e-8)
         for k, g in (("transition", grad_transition), ("first", grad_first)):
@@ -230,14 +243,27 @@ def _pair_marginals(scores: np.ndarray, transition: np.ndarray, first: np.ndarra
     return post, (pairs / pairs.sum((2, 3), keepdims=True)).sum((0, 1))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_ROWS) -> Crf | None:
-    """A model from a bounded sample of the training fold's rows with text and lang; None without any."""
-    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS) & train_fold(F.col("doc_id"))
-    known = docs.select("doc_id", "lang", "text").where(usable)
-    by_hash = (F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id").orderBy(*by_hash).limit(sample).dropDuplicates()
-    rows = known.join(F.broadcast(ids), "doc_id").orderBy(*by_hash, "lang", "text").limit(sample)
-    found = [(r.text.encode(), r.lang) for r in rows.toLocalIterator()]
+def train(docs: DataFrame, sample: int = SAMPLE_ROWS, least: int = LEAST_ROWS) -> Crf | None:
+    """A model from a bounded sample of the training fold's rows with text and lang; None without any.
+
+    Every language of the fold is learned: the sample holds the rows with the smallest id hashes
+    of each, ``sample`` divided by the number of languages but at least ``least`` (and at least
+    1), rows of at most ``SAMPLE_CHARS`` characters first. Of longer ones, which are only
+    taken where a language lacks short ones, that many characters are learned from. The ranks
+    within a language are limited in each task before they are shuffled.
+    """
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & train_fold(F.col("doc_id")))
+    rows = durable(known.select("doc_id", "lang", (F.char_length("text") > SAMPLE_CHARS).alias("_long"), F.xxhash64("doc_id", "text").alias("_text")))
+    languages = rows.select("lang").distinct().count()
+    if not languages:
+        return None
+    each = max(1, least, sample // languages)
+    by_hash = Window.partitionBy("lang").orderBy("_long", F.xxhash64("doc_id"), "doc_id", "_text")
+    ids = durable(rows.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= each).select("doc_id", "lang", "_text").distinct())
+    text = known.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("_text"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    same = [F.col("t.lang") == F.col("i.lang"), F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), F.col("t._text") == F.col("i._text")]
+    picked = sized_join(text.alias("t"), ids.alias("i"), same, "left_semi")
+    found = [(r.text.encode(), r.lang) for r in picked.dropDuplicates().orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator()]
     return fit([t for t, _ in found], [x for _, x in found])
 
 
@@ -278,7 +304,7 @@ def predict(batches, crf: Crf | None):
         lengths.append(np.bincount(row, minlength=part.num_rows))
         scores.append(crf.word_scores(len(row), bucket, word).astype(np.float32) if crf else np.zeros((0, 1)))
         held += len(row)
-        if held >= GROUP_WORDS:
+        if held * max(4, len(crf.languages) if crf else 0) >= 4 * GROUP_WORDS:
             yield from out(parts, scores, lengths)
             parts, scores, lengths, held = [], [], [], 0
     if parts:

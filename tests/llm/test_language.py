@@ -53,6 +53,75 @@ def test_held_out_accuracy_and_switches(make_docs):
     assert label.tolist() == [0] * 12 + [2] * 12
 
 
+def test_many_languages_and_rare_ones(make_docs):
+    """Over seventy languages, some with one document, one with most of the rows: all can be predicted."""
+    rng = np.random.default_rng(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(rng.choice(list(letters), 5)) for _ in range(12)] for k in range(75)}
+    fold = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows, at = [], 0
+    for k, name in enumerate(words):
+        for _ in range(600 if k == 0 else 1 if k > 60 else 6):
+            rows.append((fold[at], " ".join(rng.choice(words[name], 30)), name))
+            at += 1
+    tests = [(10_000 + k, " ".join(rng.choice(words[name], 30)), name) for k, name in enumerate(words)]
+    docs = make_docs([(i, t, name, None, 1, 1, True, 1, "", "", 0.0, "") for i, t, name in rows])
+    crf = lang.train(docs, sample=300, least=5)
+    assert crf.languages == sorted(words)
+    got = {r.doc_id: r.lang_pred for r in lang.language_id(make_docs([(i, t, None, None, 1, 1, True, 1, "", "", 0.0, "") for i, t, _ in tests]), crf).collect()}
+    assert sum(got[i] == name for i, _, name in tests) >= 72
+
+
+def test_a_language_of_long_texts_only(make_docs):
+    rng = np.random.default_rng(10)
+    rows = [(i, sentence(rng, "aa", 30), "aa", *[None] * 9) for i in range(30)] + [(100 + i, sentence(rng, "bb", 6000), "bb", *[None] * 9) for i in range(6)]
+    crf = lang.train(make_docs(rows))
+    assert crf.languages == ["aa", "bb"]
+    got = {r.doc_id: r.lang_pred for r in lang.language_id(make_docs(rows), crf).collect()}
+    assert all(got[i] == name for i, _, name, *_ in rows)
+
+
+def brute_features(text):
+    """Per word its features as (kind, bytes)."""
+    import re
+
+    out = []
+    for w in re.findall(rb"[a-z\x80-\xff]+", text.lower()):
+        found = [("word", w)]
+        for k in (1, 2, 3):
+            if len(w) > k:
+                found += [(f"prefix{k}", w[:k]), (f"suffix{k}", w[-k:])]
+        found += [(f"gram{k}", w[i : i + k]) for k in (2, 3, 4) for i in range(len(w) - k + 1)]
+        out.append(sorted(found))
+    return out
+
+
+def test_features_against_brute_force():
+    texts = ["The thing, señor. a Ab abc ABCD 12x", "", "thing a ab", "É" * 30 + " thon", "q" * 5000]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum(list(map(len, data)))])
+    row, bucket, word = lang.word_features(np.frombuffer(b"".join(data), np.uint8), offsets)
+    want = [f for t in data for f in brute_features(bytes(c + 32 if 65 <= c <= 90 else c for c in t))]
+    assert row.tolist() == [i for i, t in enumerate(data) for _ in brute_features(bytes(c + 32 if 65 <= c <= 90 else c for c in t))]
+    by_word = [sorted(bucket[word == k].tolist()) for k in range(len(want))]
+    assert [len(b) for b in by_word] == [len(f) for f in want]
+    names = {}
+    for k, found in enumerate(want):  # equal words have equal buckets
+        assert names.setdefault(str(found), by_word[k]) == by_word[k]
+    alone = {}
+    for f in {f for found in want for f in found}:
+        holders = [set(by_word[k]) for k, found in enumerate(want) if f in found]
+        alone[f] = set.intersection(*holders)
+        assert alone[f], f
+
+
+def test_one_very_long_word(make_docs):
+    rows = [(0, "thonthing withthem " * 9, "aa", *[None] * 9), (2, "zeitberg keitchau " * 9, "bb", *[None] * 9), (3, "thon" * 100_000, None, *[None] * 9)]
+    crf = lang.train(make_docs(rows))
+    got = {r.doc_id: r for r in lang.language_id(make_docs(rows), crf).collect()}
+    assert len(got) == 3 and 0 <= got[3].score <= 1 and got[3].lang_pred in ("aa", "bb")
+
+
 def test_nothing_to_learn(make_docs, edge_rows):
     empty = make_docs([])
     assert lang.train(empty) is None and lang.language_id(empty, None).collect() == []
