@@ -8,19 +8,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, spare_name, text_slices
+from .common import durable, numbered, sized_join, spare_name, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Lexical patterns are the last so many words and signs before an identifier, within CONTEXT_CHARS.
-CONTEXT_WORDS = 2
+#: Lexical patterns look at so many characters on either side of an identifier, within its line.
 CONTEXT_CHARS = 48
-#: A pattern is trusted for a kind with so many different seeds and at least this confidence.
-LEAST_SEEDS = 3
+#: The levels of patterns, the most special first, and from how many different seeds each is trusted for a
+#: kind: two words before; a word before and one after; a word before and the identifier's shape; one
+#: word before; one word after. Vaguer ones need more.
+LEVELS = {"two": 3, "around": 3, "shape": 5, "before": 6, "after": 6}
+#: ... and the seeds of a pattern of another level than the first must have so many different words on
+#: their other side (counted in 64 slots by hash), or they are but one phrase.
+LEAST_WORDS = 3
+#: ... and from what confidence.
 LEAST_CONFIDENCE = 0.8
+#: Rounds of scoring, and how often the instances found become seeds.
 ROUNDS = 3
-#: Bounds of ``candidates`` only: single tokens with at least so many digits and at most so many characters.
-LEAST_DIGITS = 4
-MOST_CHARS = 64
+BOOTSTRAPS = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -28,6 +32,8 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"[0-9]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORDS = re.compile(r"[^\W\d_]+|[=:#]")
 _MARK = re.compile(r"[0-9@]|(?<=\w)[._](?=\w)|(?<=\w)(?=\x20?[\[({](?:at|dot|@)[\])}])|(?<=\w)(?=\x20at\x20[\w-]+\x20dot\x20\w)", re.I)
 #: What joins the parts of an address, and the next group of digits.
@@ -87,32 +93,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def context(text: str, start: int) -> str | None:
-    """The lexical pattern before a place of a text."""
-    words = _WORDS.findall(text[max(0, start - CONTEXT_CHARS) : start].rpartition("\n")[2])[-CONTEXT_WORDS:]
-    return " ".join(words).lower() if len(words) == CONTEXT_WORDS else None
-
-
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of tokens that look like identifiers and overlap no taken span."""
-    out, at, spans = [], 0, iter([*sorted((s, e) for s, _, e in taken), (len(text) + 1, len(text) + 1)])
-    span = next(spans)
-    while m := _DIGIT.search(text, at):
-        start = end = m.start()
-        while span[1] <= start:
-            span = next(spans)
-        if span[0] <= start:
-            at = span[1]
-            continue
-        while start > at and text[start - 1] not in _EDGE and end - start <= MOST_CHARS:
-            start -= 1
-        while end < len(text) and text[end] not in _EDGE:
-            end += 1
-        at = end
-        while end > start and not text[end - 1].isalnum():
-            end -= 1
-        if end - start <= MOST_CHARS and end <= span[0] and len(_DIGIT.findall(text, start, end)) >= LEAST_DIGITS:
-            out.append((start, end))
+def shape(value: str) -> str:
+    """The classes of a token's characters, each run once: 9 for digits, a for letters, signs as they are, at most 24."""
+    return _DIGITS.sub("9", _LETTERS.sub("a", value))[:24]
+
+
+def contexts(text: str, start: int, end: int, chars: int = CONTEXT_CHARS) -> list[tuple[str, str]]:
+    """The lexical patterns around an identifier, one of each level that the line has the words for,
+    each with a word on the identifier's other side that isn't part of it."""
+    before = _WORDS.findall(text[max(0, start - chars) : start].rpartition("\n")[2].lower())
+    after = _WORDS.search(text[end : end + chars].partition("\n")[0].lower())
+    last, other = before[-1] if before else "", before[-2] if len(before) > 1 else ""
+    out = []
+    if other:
+        out.append((f"two {other} {last}", ""))
+    if before and after:
+        out.append((f"around {last} {after.group()}", other))
+    if before:
+        out += [(f"shape {last} {shape(text[start:end])}", other), (f"before {last}", other)]
+    if after:
+        out.append((f"after {after.group()}", last))
     return out
 
 
@@ -158,32 +158,47 @@ def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def _extract(batches):
-    for batch in text_slices(batches):
-        rows = []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            found = base_spans(text)
-            seen = [{"start": s, "end": e, "kind": KINDS[k], "context": context(text, s), "value": text[s:e]} for s, k, e in found]
-            seen += [{"start": s, "end": e, "kind": None, "context": c, "value": text[s:e]} for s, e in identifiers(text, found) if (c := context(text, s))]
-            rows.append(seen)
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(rows, _SEEN)], ["_row", "doc_id", "seen"])
+def _extractor(chars):
+    def run(batches):
+        for batch in text_slices(batches):
+            rows = []
+            for text in batch.column("text").to_pylist():
+                text = text or ""
+                found = base_spans(text)
+                seen = [{"start": s, "end": e, "kind": KINDS[k], "contexts": [dict(zip(("context", "other"), x, strict=True)) for x in contexts(text, s, e, chars)], "value": text[s:e]} for s, k, e in found]
+                seen += [{"start": s, "end": e, "kind": None, "contexts": [dict(zip(("context", "other"), x, strict=True)) for x in contexts(text, s, e, chars)], "value": text[s:e]} for s, e in identifiers(text, found)]
+                rows.append(seen)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(rows, _SEEN)], ["_row", "doc_id", "seen"])
+
+    return run
+
 
+_SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("contexts", pa.list_(pa.struct([("context", pa.string()), ("other", pa.string())]))), ("value", pa.string())]))
+_SEEN_SQL = "array<struct<start:long,end:long,kind:string,contexts:array<struct<context:string,other:string>>,value:string>>"
 
-_SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("context", pa.string()), ("value", pa.string())]))
-_SCHEMA = "_row long, doc_id long, seen array<struct<start:long,end:long,kind:string,context:string,value:string>>"
 
+def _needed(levels: dict[str, int]):
+    level = F.substring_index("context", " ", 1)
+    return F.coalesce(*(F.when(level == k, F.lit(n)) for k, n in levels.items()), F.lit(max(levels.values())))
 
-def _scored(edges: DataFrame, rounds: int, least_seeds: int, least_confidence: float) -> DataFrame:
+
+def _scored(edges: DataFrame, rounds: int, levels: dict[str, int], least_confidence: float, least_words: int) -> DataFrame:
     """context, kind, confidence of the patterns that the seeds of the graph make trusted."""
-    numbered = F.col("value").rlike("[0-9]")
-    sizes = edges.groupBy("context").agg(F.count(F.lit(1)).alias("every"), F.count_if(numbered).alias("numbered"), *(F.count_if(F.col("seed") == k).alias(f"seeds_{k}") for k in KINDS))
-    able = durable(sizes.where(" OR ".join(f"seeds_{k} >= {least_seeds}" for k in KINDS)))
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"seeds_{k}").alias("seeds"), F.col("every" if k == "email" else "numbered").alias("instances")) for k in KINDS)))
-    patterns = able.select("context", kinds.alias("k")).select("context", "k.kind", "k.seeds", "k.instances").where(F.col("seeds") >= least_seeds)
+    has_digit = F.col("value").rlike("[0-9]")
+    slot = F.expr("shiftleft(1L, cast(pmod(xxhash64(other), 64) as int))")
+    sizes = edges.groupBy("context").agg(
+        F.count(F.lit(1)).alias("every"),
+        F.count_if(has_digit).alias("with_digit"),
+        *(F.count_if(F.col("seed") == k).alias(f"seeds_{k}") for k in KINDS),
+        *(F.bit_count(F.bit_or(F.when(F.col("seed") == k, slot))).alias(f"words_{k}") for k in KINDS),
+    )
+    able = durable(sizes.where(F.greatest(*(F.col(f"seeds_{k}") for k in KINDS)) >= _needed(levels)))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"seeds_{k}").alias("seeds"), F.col(f"words_{k}").alias("words"), F.col("every" if k == "email" else "with_digit").alias("instances")) for k in KINDS)))
+    first = F.col("context").startswith(f"{next(iter(levels))} ")
+    patterns = able.select("context", kinds.alias("k")).select("context", "k.*").where((F.col("seeds") >= _needed(levels)) & (first | (F.col("words") >= least_words))).drop("words")
     open_ends = durable(edges.where(F.col("seed").isNull()).join(able.select("context"), "context", "left_semi").select("context", "value"))
     confidence = patterns.withColumn("confidence", F.col("seeds") / F.col("instances"))
-    fits = (F.col("kind") == "email") | numbered
+    fits = (F.col("kind") == "email") | has_digit
     for _ in range(rounds):
         guessed = (
             open_ends.join(confidence.select("context", "kind", "confidence"), "context").where(fits)
@@ -197,47 +212,54 @@ def _scored(edges: DataFrame, rounds: int, least_seeds: int, least_confidence: f
     return confidence.where((F.col("confidence") >= least_confidence) & (F.col("seeds") / F.col("instances") >= least_confidence / 2)).select("context", "kind", "confidence")
 
 
-def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """context, kind, confidence of the patterns that are trusted, from rows (kind or null, context, value).
+def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, levels: dict[str, int] = LEVELS, least_confidence: float = LEAST_CONFIDENCE, bootstraps: int = BOOTSTRAPS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """context, kind, confidence of the patterns that are trusted, from rows
+    (kind or null, contexts, value).
 
-    The graph joins patterns to the instances they stand before. Seeds score 1 for their kind;
-    a pattern's confidence for a kind is the mean score of its instances; another instance's
-    score is 1 - prod(1 - confidence) over its patterns with enough seeds. The rounds repeat
-    both. Then the instances of trusted patterns are seeds too, wherever they stand, and it all
-    starts again until there are no new ones, at most so many times. One edge per pattern and
-    instance is kept, so copies of a text count once.
+    The graph joins patterns of all levels to the instances they stand at. Seeds score 1 for their
+    kind; a pattern's confidence for a kind is the mean score of its instances; another
+    instance's score is 1 - prod(1 - confidence) over its patterns with enough seeds. The rounds
+    repeat both. Then the instances of trusted patterns are seeds too, wherever they stand, and
+    it all starts again until there are no new ones, at most ``bootstraps`` times. One edge per
+    pattern and instance is kept, so copies of a text count once.
     """
-    edges = durable(seen.where(F.col("context").isNotNull()).groupBy("context", "value").agg(F.max("kind").alias("seed")))
-    trusted = durable(_scored(edges, rounds, least_seeds, least_confidence))
-    for _ in range(rounds):
+    places = seen.select("kind", F.explode("contexts").alias("c"), "value").select("kind", "c.*", "value")
+    edges = durable(places.groupBy("context", "value").agg(F.max("kind").alias("seed"), F.min("other").alias("other")))
+    trusted = durable(_scored(edges, rounds, levels, least_confidence, least_words))
+    for _ in range(bootstraps):
         ours = edges.where(F.col("seed").isNull()).join(trusted, "context").where((F.col("kind") == "email") | F.col("value").rlike("[0-9]"))
         new = durable(ours.groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("new")))
         if new.isEmpty():
             break
-        edges = durable(edges.join(new, "value", "left").select("context", "value", F.coalesce("seed", "new").alias("seed")))
-        more = _scored(edges, rounds, least_seeds, least_confidence)
+        edges = durable(edges.join(new, "value", "left").select("context", "value", F.coalesce("seed", "new").alias("seed"), "other"))
+        more = _scored(edges, rounds, levels, least_confidence, least_words)
         trusted = durable(trusted.unionByName(more).groupBy("context", "kind").agg(F.max("confidence").alias("confidence")))
     return trusted
 
 
-def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
-    """_row, doc_id, base and spans: arrays of (start, place, kind, end), sorted by start and kind's place."""
+def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None, chars: int = CONTEXT_CHARS, **pattern_options) -> DataFrame:
+    """_row, doc_id, base and spans: arrays of (start, place, kind, end), sorted by start and kind's place.
+
+    ``pattern_options`` go to ``trusted_patterns``. An identifier at a trusted pattern of any
+    level is of the kind of its most confident one.
+    """
     number = F.col(row) if row else F.monotonically_increasing_id()
     rows = docs.select(number.alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = durable(rows.mapInArrow(_extract, _SCHEMA))
+    found = durable(rows.mapInArrow(_extractor(chars), f"_row {rows.schema['_row'].dataType.simpleString()}, doc_id long, seen {_SEEN_SQL}"))
     seen = found.select("_row", F.explode("seen").alias("s")).select("_row", "s.*")
-    trusted = trusted_patterns(seen)
-    best = trusted.groupBy("context").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    trusted = trusted_patterns(seen, **pattern_options)
     place = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
-    unseen = seen.where(F.col("kind").isNull()).drop("kind").join(best, "context").where((F.col("kind") == "email") | F.col("value").rlike("[0-9]"))
-    more = unseen.groupBy("_row").agg(F.collect_list(F.struct("start", place(F.col("kind")).alias("place"), "kind", "end")).alias("more"))
+    unseen = seen.where(F.col("kind").isNull()).select("_row", "start", "end", "value", F.explode("contexts.context").alias("context")).join(trusted, "context")
+    unseen = unseen.where((F.col("kind") == "email") | F.col("value").rlike("[0-9]"))
+    judged = unseen.groupBy("_row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    more = judged.groupBy("_row").agg(F.collect_list(F.struct("start", place(F.col("kind")).alias("place"), "kind", "end")).alias("more"))
     known = F.filter("seen", lambda s: s["kind"].isNotNull())
     base = F.array_sort(F.transform(known, lambda s: F.struct(s["start"].alias("start"), place(s["kind"]).alias("place"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    both = found.select("_row", "doc_id", base.alias("base")).join(more, "_row", "left")
+    both = sized_join(found.select("_row", "doc_id", base.alias("base")), durable(more), "_row", "left", F.size("more"))
     return both.select("_row", "doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **pattern_options) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Null texts are empty and have no spans (an empty string, hashed as such). Repeated rows
@@ -247,7 +269,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in KINDS]
-    return all_spans(docs, id_col, text_col).select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return all_spans(docs, id_col, text_col, **pattern_options).select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def masked(text: str, spans) -> str:
@@ -279,12 +301,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """All input rows with the input's columns; spans are replaced by their kind, as ``[EMAIL]``.
 
     A column ``length_col``, if there is one, then holds the code points of the new text where
-    the text changed.
+    the text changed. Null and empty texts stay; repeated rows are changed alike; an empty table
+    gives an empty result.
     """
     row, found = spare_name(docs, "_row"), spare_name(docs, "_spans")
-    numbered = durable(docs.select("*", F.monotonically_increasing_id().alias(row)))
-    spans = all_spans(numbered, id_col, text_col, row).where(F.size("spans") > 0).select(F.col("_row").alias(row), F.col("spans").alias(found))
-    return numbered.join(spans, row, "left").drop(row).mapInArrow(_redactor(text_col, length_col, found), docs.schema)
+    named = numbered(docs, row)
+    spans = durable(all_spans(named, id_col, text_col, row).where(F.size("spans") > 0).select(F.col("_row").alias(row), F.col("spans").alias(found)))
+    return sized_join(named, spans, row, "left", F.size(found)).drop(row).mapInArrow(_redactor(text_col, length_col, found), docs.schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
