@@ -38,7 +38,7 @@ def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
     best = F.min(F.struct((-F.col("_len")).alias("_least"), F.col("doc_id").isNull().alias("_null"), "doc_id", "_row"))
     groups = rows.groupBy(*keys).agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size"))
     kept = F.col("_row") == F.col("_best._row")
-    return rows.join(groups, keys).select("_row", "doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+    return sized_join(rows, durable(groups), keys, "inner").select("_row", "doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
 
 
 def _verdicts(docs: DataFrame, hash_of) -> DataFrame:
@@ -57,7 +57,7 @@ def _verdicts(docs: DataFrame, hash_of) -> DataFrame:
     classes = texts.groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("_size")).groupBy("_h").agg(F.count(F.lit(1)).alias("_classes"))
     classes = durable(classes)
     single = sized_join(rows, often, "_h", "left_anti").select("_row", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    same = _grouped(rows.join(classes.where("_classes = 1"), "_h", "left_semi"), ["_h"])
+    same = _grouped(durable(sized_join(rows, durable(classes.where("_classes = 1").select("_h")), "_h", "left_semi")), ["_h"])
     out = single.unionByName(same)
     collided = classes.where("_classes > 1").select("_h")
     if not collided.isEmpty():
