@@ -82,24 +82,25 @@ def reach_within(edges: DataFrame, nodes: DataFrame, limit: float, reverse: bool
     """(src, dst, dist): all nodes within the limit by shortest path, each node with itself at 0.
 
     Edges are walked from dst to src unless ``reverse`` is false. Each round walks one edge from
-    the pairs that got shorter in the last, keeps the least distance by pair, and is written to
-    the shared folder; lengths are positive, so it ends. ValueError if an edge leaves the nodes.
+    the pairs that got shorter in the last and keeps the least distance by pair, in one
+    aggregation that is written to the shared folder; lengths are positive, so it ends.
+    ValueError if an edge leaves the nodes.
     """
+    edges = durable(edges.select("src", "dst", "length"))
     step = edges.select((F.col("dst") if reverse else F.col("src")).alias("x"), (F.col("src") if reverse else F.col("dst")).alias("y"), "length").groupBy("x", "y").agg(F.min("length").alias("length"))
     ids = nodes.select(F.col(key).alias("n"))
-    step = durable(step.where(F.col("length") <= limit))
     outside = edges.select(F.explode(F.array("src", "dst")).alias("n")).join(ids, "n", "left_anti")
     if not outside.isEmpty():
         raise ValueError("an edge leaves the nodes")
-    best = durable(ids.select(F.col("n").alias("src"), F.col("n").alias("dst"), F.lit(0.0).alias("dist")))
-    front = best
+    step = durable(step.where(F.col("length") <= limit))
+    best = durable(ids.select(F.col("n").alias("src"), F.col("n").alias("dst"), F.lit(0.0).alias("dist"), F.lit(True).alias("new")))
     while True:
-        walked = front.join(step, front["dst"] == step["x"]).select("src", F.col("y").alias("dst"), (F.col("dist") + F.col("length")).alias("dist")).where(F.col("dist") <= limit).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-        known = best.select(F.col("src").alias("s"), F.col("dst").alias("d"), F.col("dist").alias("old"))
-        front = durable(walked.join(known, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")), "left").where("old IS NULL OR dist < old").select("src", "dst", "dist"))
+        front = best.where("new")
         if front.isEmpty():
-            return best
-        best = durable(best.unionByName(front).groupBy("src", "dst").agg(F.min("dist").alias("dist")))
+            return best.select("src", "dst", "dist")
+        walked = front.join(step, front["dst"] == step["x"]).select("src", F.col("y").alias("dst"), (F.col("dist") + F.col("length")).alias("dist"), F.lit(None).cast("double").alias("old")).where(F.col("dist") <= limit)
+        both = walked.unionByName(best.select("src", "dst", "dist", F.col("dist").alias("old"))).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("old").alias("old"))
+        best = durable(both.select("src", "dst", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("new")))
 
 
 def neighbourhoods(edges: DataFrame, nodes: DataFrame, limits: dict[str, float] | None = None, reverse: bool = True, key: str = "node_idx") -> DataFrame:
@@ -166,8 +167,11 @@ def sample_hops(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: in
 
 def induced_subgraph(edges: DataFrame, members: DataFrame, key: str = "node_idx", by: list[str] = ()) -> DataFrame:
     """The edges whose ends are both members (of the same ``by`` group), with local numbers from 0 in order of the key."""
-    w = Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy(key)
-    local = members.select(*by, key).distinct().withColumn("_l", (F.row_number().over(w) - 1).cast("long"))
+    if by:
+        w = Window.partitionBy(*by).orderBy(key)
+        local = members.select(*by, key).distinct().withColumn("_l", (F.row_number().over(w) - 1).cast("long"))
+    else:
+        local = positions(members, key, "_l")
     a = local.select(*by, F.col(key).alias("src"), F.col("_l").alias("local_src"))
     b = local.select(*by, F.col(key).alias("dst"), F.col("_l").alias("local_dst"))
     return edges.select("src", "dst").distinct().join(a, "src").join(b, [*by, "dst"]).select(*by, "src", "dst", "local_src", "local_dst")
@@ -183,3 +187,15 @@ def remap(lists: DataFrame, old: DataFrame, new: DataFrame, key: str = "station_
     a, b = both.select(F.col("_o").alias("src"), F.col("_n").alias("_a")), both.select(F.col("_o").alias("dst"), F.col("_n").alias("_b"))
     rest = [c for c in lists.columns if c not in ("src", "dst")]
     return lists.join(a, "src").join(b, "dst").select(*rest, F.col("_a").alias("src"), F.col("_b").alias("dst"))
+
+
+def first_neighbours(edges: DataFrame, node, k: int) -> DataFrame:
+    """(rank, neighbour): the k direct neighbours of one node with the least positions; ranks from 1."""
+    near = edges.where(F.col("src") == F.lit(node)).select(F.col("dst").alias("neighbour")).distinct().orderBy("neighbour").limit(k)
+    w = Window.partitionBy(F.lit(0)).orderBy("neighbour")  # at most k rows
+    return near.select(F.row_number().over(w).cast("long").alias("rank"), "neighbour")
+
+
+def first_edges(edges: DataFrame, n: int) -> DataFrame:
+    """The first n edges by source and target, as many as a plot can show."""
+    return edges.select("src", "dst").distinct().orderBy("src", "dst").limit(n)
