@@ -98,14 +98,44 @@ def forest_baseline(train: DataFrame, test: DataFrame, features: list[str], targ
     return model.transform(pack.transform(test)).drop("_x")
 
 
-def graph_regression(train: DataFrame, test: DataFrame, features: list[str], target: str, regularization: float = 1e-3) -> DataFrame:
-    """Adds prediction by a linear model over the given features, such as a node's own and its neighbourhood means."""
+def fit_regression(train: DataFrame, features: list[str], target: str, regularization: float = 1e-3):
+    """A pipeline of the features' vector and a linear model, fitted on the rows with a target."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     pack = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
-    model = LinearRegression(featuresCol="_x", labelCol=target, predictionCol="prediction", regParam=regularization).fit(pack.transform(train.where(F.col(target).isNotNull())))
-    return model.transform(pack.transform(test)).drop("_x")
+    return Pipeline(stages=[pack, LinearRegression(featuresCol="_x", labelCol=target, predictionCol="prediction", regParam=regularization)]).fit(train.where(F.col(target).isNotNull()))
+
+
+def save_model(model, path: str) -> None:
+    """A fitted pipeline as a folder that every machine can load from."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def predict_station(model, rows: DataFrame, near: DataFrame, station, key: str = "station_id", time: str = "timestamp") -> DataFrame:
+    """Adds prediction to the rows of a station and its neighbours at the last time that the station has.
+
+    ``near`` is (station, neighbour). KeyError if the station has no rows.
+    """
+    last = rows.where(F.col(key) == F.lit(station)).agg(F.max(time)).first()[0]
+    if last is None:
+        raise KeyError(station)
+    asked = near.where(F.col(near.columns[0]) == F.lit(station)).select(F.col(near.columns[1]).alias(key))
+    asked = asked.unionByName(asked.sparkSession.range(1).select(F.lit(station).alias(key))).distinct()
+    here = rows.where(F.col(time) == F.lit(last).cast(dict(rows.dtypes)[time])).join(asked, key, "left_semi")
+    return model.transform(here).drop("_x")
+
+
+def graph_regression(train: DataFrame, test: DataFrame, features: list[str], target: str, regularization: float = 1e-3) -> DataFrame:
+    """Adds prediction by a linear model over the given features, such as a node's own and its neighbourhood means."""
+    return fit_regression(train, features, target, regularization).transform(test).drop("_x")
 
 
 def rank_by(df: DataFrame, by: list[str], order: list[Column | str]) -> Column:

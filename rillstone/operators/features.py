@@ -135,6 +135,14 @@ def station_stats(df: DataFrame, node: str, value: str, targets: list[str], leas
     return df.groupBy(node).agg(*(F.avg(c).alias(f"mean_{c}") for c in cols), *(F.greatest(F.coalesce(F.stddev_pop(c), F.lit(0.0)), F.lit(least)).alias(f"std_{c}") for c in cols))
 
 
+def normalization_report(stats: DataFrame, columns: list[str], least: float = 1e-6) -> DataFrame:
+    """(column, nodes, mean_least, mean_largest, std_least, std_largest, constant) of ``station_stats``; constant nodes are those with the least deviation allowed."""
+    aggs = [f for c in columns for f in (F.min(f"mean_{c}").alias(f"a_{c}"), F.max(f"mean_{c}").alias(f"b_{c}"), F.min(f"std_{c}").alias(f"c_{c}"), F.max(f"std_{c}").alias(f"d_{c}"), F.count_if(F.col(f"std_{c}") <= least).alias(f"e_{c}"))]
+    names = ["mean_least", "mean_largest", "std_least", "std_largest", "constant"]
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{x}_{c}").alias(n) for x, n in zip("abcde", names, strict=True))) for c in columns)))
+    return stats.agg(F.count(F.lit(1)).alias("nodes"), *aggs).select("nodes", each.alias("e")).select("e.column", "nodes", *(f"e.{n}" for n in names))
+
+
 def normalize(df: DataFrame, stats: DataFrame, node: str, columns: list[str]) -> DataFrame:
     """Columns become (x - mean) / std of their node; nodes without statistics are left out."""
     joined = df.join(stats, node)

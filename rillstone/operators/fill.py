@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions.numeric import truth
 from rillstone.functions.timeslots import micros
+from rillstone.storage import durable
 
 FEATURES = ["flow", "occupancy", "speed"]
 MASKS = ["mask_logic", "mask_md", "mask_hf"]
@@ -128,7 +129,8 @@ def fill_chain(df: DataFrame, neighbours: DataFrame, features: list[str] = FEATU
         near = F.col(f"{f}_local")
         picks[f] = F.coalesce(near, f) if precedence == "local" else F.coalesce(f, near)
     stage = bracket.withColumns({f: F.when(F.col("mask_flag"), picks[f]).otherwise(F.col(f)) for f in features}).drop(*(f"{f}_local" for f in features))
-    stage = carry_fill(stage, features, group, [time, *tie])
+    # written once: both the overall means and the result read it
+    stage = durable(carry_fill(stage, features, group, [time, *tie]))
     w = Window.partitionBy(*group)
     whole = stage.agg(*(F.avg(f).alias(f"_{f}") for f in features))
     stage = stage.withColumns({f: F.coalesce(F.col(f), F.avg(f).over(w)) for f in features})

@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.numeric import truth
+from rillstone.operators.tables import quantiles, running_counts
 from rillstone.storage import durable
 
 GOOD, BAD = 0.9, -1.0
 #: The reference point of the health column where a station has no health.
 MISSING_HEALTH = 0.0039
+#: Most rows of a sweep's grid, and most groups of a distance whose matrices the driver inverts.
+MOST_PARAMETERS = 4096
+MOST_GROUPS = 64
 
 
 def snapshot_labels(stations: DataFrame, snapshots: DataFrame, good: DataFrame, key: str = "station_id", date: str = "slice_date") -> DataFrame:
@@ -71,7 +75,8 @@ def rule_scores(df: DataFrame, station: str = "station_id", time: str = "timesta
     all rows, by linear interpolation.
     """
     own = df.groupBy(station).agg(F.percentile(speed, F.lit(0.99)).alias("_q99")).withColumnRenamed(station, "_s")
-    whole = df.agg(F.percentile(speed, F.lit(0.99)).alias("_q99_all"), F.percentile(samples, F.lit(0.1)).alias("_q10"))
+    # a station's quantile is over one series; those of all rows come from range partitions
+    whole = quantiles(df, speed, {"_q99_all": 0.99}).join(quantiles(df, samples, {"_q10": 0.1}))
     w = Window.partitionBy(station).orderBy(time, *tie)
     around = reduce(lambda a, b: a & b, (f(flow, k).over(w) > 0 for f in (F.lag, F.lead) for k in (1, 2)))
     s8 = truth((F.col(flow) == 0) & (F.col(occupancy) == 0) & around).cast("int")
@@ -95,19 +100,31 @@ def f1(true: Column, predicted: Column) -> Column:
 def f1_sweep(df: DataFrame, grid: DataFrame, truth_col: str = "true_bad", day_keys: list[str] = ("station_id", "date")) -> DataFrame:
     """(the grid's columns a5, a7, a8, threshold, with f1_time, f1_day, f1_sum) for each row of the grid.
 
-    f1_time is over rows, f1_day over day keys, with a day positive if any of its rows is. The
-    grid is a small broadcast table, so all combinations take one pass; a day's rows with equal
-    scores count as one with a weight.
+    f1_time is over rows, f1_day over day keys, with a day positive if any of its rows is. Each
+    row's predictions for all rows of the grid are the bits of a few numbers. Rows, and days
+    after or-ing theirs, are counted by those bits, whose different patterns the grid bounds (as
+    regions between its planes) and the rows don't; only the patterns meet the grid. The grid is
+    a parameter of at most ``MOST_PARAMETERS`` rows, ValueError above; repeated rows count once.
     """
     params = ["a5", "a7", "a8", "threshold"]
-    score = F.col("a5") * F.col("s5") + F.col("a7") * F.col("s7") + F.col("a8") * F.col("s8")
-    slim = df.groupBy(*day_keys, "s5", "s7", "s8", truth(F.col(truth_col)).alias("t")).agg(F.count(F.lit(1)).alias("c"))
-    each = slim.join(F.broadcast(grid.select(*params))).withColumn("p", truth(score > F.col("threshold")))
-    rows = lambda t, p: F.sum(F.when((F.col("t") == t) & (F.col("p") == p), F.col("c")).otherwise(0))
-    days = each.groupBy(*params, *day_keys).agg(F.bool_or("t").alias("t_day"), F.bool_or("p").alias("p_day"), rows(True, True).alias("tp"), rows(False, True).alias("fp"), rows(True, False).alias("fn"))
-    sums = days.groupBy(*params).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.coalesce(f1(F.col("t_day"), F.col("p_day")), F.lit(0.0)).alias("f1_day"))
-    time = F.coalesce(F.try_divide(2.0 * F.col("tp"), (2.0 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")), F.lit(0.0))
-    return sums.select(*params, time.alias("f1_time"), "f1_day", (time + F.col("f1_day")).alias("f1_sum"))
+    sets = sorted(tuple(map(float, r)) for r in grid.select(*params).distinct().limit(MOST_PARAMETERS + 1).collect())
+    if not sets or len(sets) > MOST_PARAMETERS:
+        raise ValueError(f"the grid has no rows or over {MOST_PARAMETERS}")
+    words = [sets[at : at + 62] for at in range(0, len(sets), 62)]
+    hit = lambda a5, a7, a8, t: truth(F.lit(a5) * F.col("s5") + F.lit(a7) * F.col("s7") + F.lit(a8) * F.col("s8") > t)
+    bits = [reduce(lambda x, y: x.bitwiseOR(y), (F.when(hit(*p), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, p in enumerate(part))).alias(f"b{w}") for w, part in enumerate(words)]
+    names = [f"b{w}" for w in range(len(words))]
+    rows = df.select(*day_keys, truth(F.col(truth_col)).alias("t"), *bits)
+    slim = durable(rows.groupBy(*day_keys, "t", *names).agg(F.count(F.lit(1)).alias("c")))
+    by_row = slim.groupBy("t", *names).agg(F.sum("c").alias("c")).withColumn("level", F.lit("time"))
+    days = slim.groupBy(*day_keys).agg(F.bool_or("t").alias("t"), *(F.bit_or(b).alias(b) for b in names))
+    by_day = days.groupBy("t", *names).agg(F.count(F.lit(1)).alias("c")).withColumn("level", F.lit("day"))
+    each = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(params, p, strict=True)), (F.shiftright(f"b{w}", k).bitwiseAND(F.lit(1)) == 1).alias("p")) for w, part in enumerate(words) for k, p in enumerate(part))))
+    flat = by_row.unionByName(by_day).select("level", "t", "c", each.alias("e")).select("level", "t", "c", "e.*")
+    of = lambda level, t, p: F.sum(F.when((F.col("level") == level) & (F.col("t") == t) & (F.col("p") == p), F.col("c")).otherwise(0))
+    score = lambda level: F.coalesce(F.try_divide(2.0 * of(level, True, True), (2.0 * of(level, True, True) + of(level, False, True) + of(level, True, False)).cast("double")), F.lit(0.0))
+    out = flat.groupBy(*params).agg(score("time").alias("f1_time"), score("day").alias("f1_day"))
+    return out.withColumn("f1_sum", F.col("f1_time") + F.col("f1_day"))
 
 
 def parameter_grid(spark: SparkSession, alphas: list[float], thresholds: list[float]) -> DataFrame:
@@ -138,16 +155,19 @@ def mean_impute(df: DataFrame, features: list[str]) -> DataFrame:
     return df.join(F.broadcast(means)).withColumns({f: F.coalesce(f, f"_{f}") for f in features}).drop(*(f"_{f}" for f in features))
 
 
-def mahalanobis(df: DataFrame, features: list[str], group: str, ridge: float = 1e-6) -> DataFrame:
+def mahalanobis(df: DataFrame, features: list[str], group: str, ridge: float = 1e-6, most_groups: int = MOST_GROUPS) -> DataFrame:
     """Adds md_squared, the squared distance from the group's mean under its covariance (plus a ridge); nulls count as the overall means.
 
-    Groups are few calendar codes (at most eight); only their moments go to the driver, where the
-    matrices are inverted, and the quadratic form is a column expression. A group with no more
-    rows than features plus one has distance 0.
+    Groups are few calendar codes (eight); only their moments go to the driver, where the
+    matrices are inverted, and the quadratic form is a column expression. ValueError for over
+    ``most_groups``. A group with no more rows than features plus one has distance 0.
     """
     filled = mean_impute(df, features)
     out = F.lit(0.0)
-    for row in covariance(filled, features, [group]).collect():
+    moments = covariance(filled, features, [group]).limit(most_groups + 1).collect()
+    if len(moments) > most_groups:
+        raise ValueError(f"{group} has more than {most_groups} groups")
+    for row in moments:
         if row["n"] < len(features) + 1:
             continue
         sigma = np.array([[row[f"cov_{a}_{b}"] if f"cov_{a}_{b}" in row.asDict() else row[f"cov_{b}_{a}"] for b in features] for a in features]) + ridge * np.eye(len(features))
@@ -161,14 +181,20 @@ def mahalanobis(df: DataFrame, features: list[str], group: str, ridge: float = 1
 def knee_threshold(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """(group, threshold): the value where the share of rows up to it exceeds the min-max scaled value most; the least on ties.
 
-    Works on distinct values with counts. The running sum is over a group's distinct values only.
+    Works on distinct values with counts, whose running sums are made over range partitions.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("c"))
-    up, whole = Window.partitionBy(*group).orderBy(value), Window.partitionBy(*group)
-    ranked = counts.select(*group, value, F.sum("c").over(up).alias("r"), F.sum("c").over(whole).alias("n"), F.min(value).over(whole).alias("lo"), F.max(value).over(whole).alias("hi"))
-    gap = F.try_divide((F.col("r") - 1).cast("double"), (F.col("n") - 1).cast("double")) - F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo"))
-    scored = ranked.withColumn("gap", F.coalesce(gap, F.lit(0.0)))
-    return scored.groupBy(*group).agg(F.min_by(value, F.struct(-F.col("gap"), F.col(value))).alias("threshold"))
+    ranked = durable(running_counts(df, value, group))
+    ends = ranked.groupBy(*group).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), "lo", "hi")
+    on = reduce(lambda x, y: x & y, (F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)), F.lit(True))
+    gap = F.try_divide((F.col("upto") - 1).cast("double"), (F.col("n") - 1).cast("double")) - F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
+    scored = ranked.join(ends, on).withColumn("gap", F.coalesce(gap, F.lit(0.0)))
+    return scored.groupBy(*group).agg(F.min_by("value", F.struct(-F.col("gap"), F.col("value"))).alias("threshold"))
+
+
+def masked_percent(df: DataFrame, stations: DataFrame, mask: str, station: str = "station_id") -> DataFrame:
+    """(station, rows, percent): how many of a selected station's rows are masked; null for stations without rows."""
+    rates = df.groupBy(station).agg(F.count(F.lit(1)).alias("rows"), (100.0 * F.avg(truth(F.col(mask)).cast("int"))).alias("percent"))
+    return stations.select(station).distinct().join(rates, station, "left").select(station, F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), "percent")
 
 
 def knee_mask(df: DataFrame, value: str, group: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillstone.storage import durable
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in a stated order, by an aggregate that combines before the shuffle."""
@@ -30,23 +32,66 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def describe(df: DataFrame, column: str, by: list[str] = (), quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+def running_counts(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
+    """(by, value, c, upto, n): each distinct value's rows, the rows up to and with it in its group, and the group's; nulls don't count.
+
+    Values are counted before the shuffle and sorted over range partitions; each partition's
+    sums are offset by those of the partitions before it, so no task holds a whole group.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    tagged = durable(counts.sort(*by, "value").withColumn("_part", F.spark_partition_id()))
+    sizes = tagged.groupBy(*by, "_part").agg(F.sum("c").alias("_s"))
+    group = Window.partitionBy(*by, *([] if by else [F.lit(0)]))  # a group has no more rows here than there are partitions
+    starts = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.col("_part").alias("_p"), (F.sum("_s").over(group.orderBy("_part")) - F.col("_s")).alias("_start"), F.sum("_s").over(group).alias("n"))
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(by):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    here = Window.partitionBy(*by, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return tagged.withColumn("_up", F.sum("c").over(here)).join(starts, on).select(*by, "value", "c", (F.col("_start") + F.col("_up")).alias("upto"), "n")
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """(by, one column for each named share): exact quantiles by linear interpolation, from running counts."""
+    counts = running_counts(df, column, by)
+    at = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in shares.items()}
+    has = lambda rank: F.max(F.when((F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")), F.col("value").cast("double")))
+    picked = [f for name, h in at.items() for f in (has(F.floor(h)).alias(f"_lo_{name}"), has(F.ceil(h)).alias(f"_hi_{name}"))]
+    rows = (counts.groupBy(*by) if by else counts.groupBy()).agg(F.max("n").alias("n"), *picked)
+
+    def value(name, h):
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        return F.when((F.floor(h) == F.ceil(h)) | (low == high), low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
+
+    return rows.select(*by, *(value(name, h).alias(name) for name, h in at.items()))
+
+
+def segment_offsets(df: DataFrame, key: str) -> DataFrame:
+    """(key, start, size): where each key's rows begin among all rows sorted by the key, and how many there are."""
+    return running_counts(df, key).select(F.col("value").alias(key), (F.col("upto") - F.col("c")).alias("start"), F.col("c").alias("size"))
+
+
+def describe(df: DataFrame, column: str, by: list[str] = (), shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """count, mean, std (sample), min, exact quantiles by linear interpolation, max."""
-    aggs = [F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), *(F.percentile(column, F.lit(q)).alias(f"q{round(q * 100)}") for q in quantiles), F.max(column).alias("max")]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    names = {f"q{round(q * 100)}": q for q in shares}
+    aggs = [F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")]
+    ranked = quantiles(df, column, names, by).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), *names)
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = (df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)).join(ranked, on, "left")
+    return joined.select(*by, "count", "mean", "std", "min", *names, "max")
 
 
 def ecdf(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """(by, value, cdf) for each distinct value: rows before its last copy, as a share of all but one."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    up, whole = Window.partitionBy(*by).orderBy("value"), Window.partitionBy(*by)
-    return counts.select(*by, "value", F.coalesce(F.try_divide((F.sum("c").over(up) - 1).cast("double"), (F.sum("c").over(whole) - 1).cast("double")), F.lit(0.0)).alias("cdf"))
+    counts = running_counts(df, column, by)
+    return counts.select(*by, "value", F.coalesce(F.try_divide((F.col("upto") - 1).cast("double"), (F.col("n") - 1).cast("double")), F.lit(0.0)).alias("cdf"))
 
 
 def histogram(df: DataFrame, column: str, bins: int, by: list[str] = ()) -> DataFrame:
     """(by, bin, count) over equal bins from the least to the largest value, which is in the last bin; only bins with rows."""
     edges = df.groupBy(*by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi")) if by else df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    joined = df.where(F.col(column).isNotNull()).join(F.broadcast(edges), list(by)) if by else df.where(F.col(column).isNotNull()).join(F.broadcast(edges))
+    joined = df.where(F.col(column).isNotNull()).join(edges, list(by)) if by else df.where(F.col(column).isNotNull()).join(F.broadcast(edges))
     place = F.floor(F.coalesce(F.try_divide((F.col(column) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")), F.lit(0.0)))
     return joined.groupBy(*by, F.least(place, F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
@@ -90,3 +135,16 @@ def non_finite_report(df: DataFrame, columns: list[str]) -> DataFrame:
 def top_k(df: DataFrame, by: list[str], order: list[Column | str], k: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def assert_disjoint(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
+    """ValueError names some keys if both tables have any in common."""
+    common = a.select(*keys).intersect(b.select(*keys)).limit(5).collect()
+    if common:
+        raise ValueError(f"not disjoint: {[tuple(r) for r in common]}")
+
+
+def flat_sample(spark: SparkSession, times: int, nodes: int, n: int, seed: int = 0) -> DataFrame:
+    """(time_idx, node_idx) of n different cells of a times x nodes table, the least by a fixed pseudo-random order."""
+    value = F.pmod(F.pmod(F.lit(seed) * 48271 + F.col("id") * 16807 + 12345, F.lit(2147483647)) * 48271 + 12345, F.lit(2147483647))
+    return spark.range(times * nodes).orderBy(value, "id").limit(n).select(F.floor(F.col("id") / nodes).cast("long").alias("time_idx"), (F.col("id") % nodes).alias("node_idx"))
