@@ -26,63 +26,33 @@ SELECT event_id, slot, weekday, weekday >= 5 AS is_weekend, CAST(ts AS DATE) IN
   {q("sin(slot * (2 * pi() / 288))", "sin_day")}, {q("cos(slot * (2 * pi() / 288))", "cos_day")}, {q("sin(weekday * (2 * pi() / 7))", "sin_week")}, {q("cos(weekday * (2 * pi() / 7))", "cos_week")} FROM c"""
 
 
-def _weather(spark, d):
-    """Every fourth hour of the hourly grid, as a weather series by direction."""
-    return hourly(spark, d).where("pmod(hour(hour), 4) = 0 AND day(hour) <= 7")
-
-
-_WEATHER = f"{HOURLY}, we AS (SELECT * FROM g WHERE hour(hour) % 4 = 0 AND day(hour) <= 7)"
-
-
 def resample_linear(spark, d):
-    out = timeslots.resample_linear(_weather(spark, d), ["direction"], "hour", ["y"], 60)
+    """The whole hourly series, each half hour on the line between its hours."""
+    out = timeslots.resample_linear(hourly(spark, d), ["direction"], "hour", ["y"], 30)
     return out.select("direction", "hour", quantize(F.col("y")).alias("y"))
 
 
-LINEAR_SQL = f"""WITH {_WEATHER}, n AS (SELECT *, lead(hour) OVER w AS t1, lead(y) OVER w AS y1 FROM we WINDOW w AS (PARTITION BY direction ORDER BY hour)),
-p AS (SELECT *, unnest(generate_series(hour, coalesce(t1 - INTERVAL 1 HOUR, hour), INTERVAL 1 HOUR)) AS t FROM n)
+LINEAR_SQL = f"""WITH {HOURLY}, n AS (SELECT *, lead(hour) OVER w AS t1, lead(y) OVER w AS y1 FROM g WINDOW w AS (PARTITION BY direction ORDER BY hour)),
+p AS (SELECT *, unnest(generate_series(hour, coalesce(t1 - INTERVAL 30 MINUTE, hour), INTERVAL 30 MINUTE)) AS t FROM n)
 SELECT direction, t AS hour, {q("CASE WHEN t = hour THEN y ELSE y + (y1 - y) * (CAST(date_diff('second', hour, t) AS DOUBLE) / date_diff('second', hour, t1)) END", "y")} FROM p"""
 
 
 def asfreq_grid(spark, d):
-    return timeslots.regular_grid(_weather(spark, d), ["direction"], "hour", 120).select("direction", "hour", "y")
+    return timeslots.regular_grid(hourly(spark, d), ["direction"], "hour", 30).select("direction", "hour", "y")
 
 
-ASFREQ_SQL = f"""WITH {_WEATHER}, lo AS (SELECT direction, min(hour) AS a, max(hour) AS b FROM we GROUP BY 1), gr AS (SELECT direction, unnest(generate_series(a, b, INTERVAL 2 HOUR)) AS hour FROM lo)
-SELECT direction, hour, y FROM gr LEFT JOIN we USING (direction, hour)"""
+_GRID = f"{HOURLY}, lo AS (SELECT direction, min(hour) AS a, max(hour) AS b FROM g GROUP BY 1), gr AS (SELECT direction, unnest(generate_series(a, b, INTERVAL 30 MINUTE)) AS hour FROM lo)"
+ASFREQ_SQL = f"WITH {_GRID} SELECT direction, hour, y FROM gr LEFT JOIN g USING (direction, hour)"
 
 
 def resample_ffill(spark, d):
     from rillstone.operators.fill import carry_fill
 
-    grid = timeslots.regular_grid(_weather(spark, d), ["direction"], "hour", 60)
-    return carry_fill(grid, ["y"], ["direction"], ["hour"], backward=False).select("direction", "hour", "y")
-
-
-FFILL_SQL = f"""WITH {_WEATHER}, lo AS (SELECT direction, min(hour) AS a, max(hour) AS b FROM we GROUP BY 1), gr AS (SELECT direction, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS hour FROM lo)
-SELECT direction, hour, last_value(y IGNORE NULLS) OVER (PARTITION BY direction ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM gr LEFT JOIN we USING (direction, hour)"""
-
-
-def resample_linear_whole(spark, d):
-    """The whole hourly series, each half hour on the line between its hours."""
-    out = timeslots.resample_linear(hourly(spark, d), ["direction"], "hour", ["y"], 30)
-    return out.select("direction", "hour", quantize(F.col("y")).alias("y"))
-
-
-def asfreq_grid_whole(spark, d):
-    return timeslots.regular_grid(hourly(spark, d), ["direction"], "hour", 30).select("direction", "hour", "y")
-
-
-def resample_ffill_whole(spark, d):
-    from rillstone.operators.fill import carry_fill
-
-    return carry_fill(asfreq_grid_whole(spark, d), ["y"], ["direction"], ["hour"], backward=False).select("direction", "hour", "y")
+    return carry_fill(asfreq_grid(spark, d), ["y"], ["direction"], ["hour"], backward=False).select("direction", "hour", "y")
 
 
-_WHOLE = f"{HOURLY}, we AS (SELECT * FROM g)"
-LINEAR_WHOLE_SQL = LINEAR_SQL.replace(_WEATHER, _WHOLE).replace("t1 - INTERVAL 1 HOUR, hour), INTERVAL 1 HOUR", "t1 - INTERVAL 30 MINUTE, hour), INTERVAL 30 MINUTE")
-ASFREQ_WHOLE_SQL = ASFREQ_SQL.replace(_WEATHER, _WHOLE).replace("generate_series(a, b, INTERVAL 2 HOUR)", "generate_series(a, b, INTERVAL 30 MINUTE)")
-FFILL_WHOLE_SQL = FFILL_SQL.replace(_WEATHER, _WHOLE).replace("generate_series(a, b, INTERVAL 1 HOUR)", "generate_series(a, b, INTERVAL 30 MINUTE)")
+FFILL_SQL = f"""WITH {_GRID}
+SELECT direction, hour, last_value(y IGNORE NULLS) OVER (PARTITION BY direction ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM gr LEFT JOIN g USING (direction, hour)"""
 
 
 def _indexed(spark, d):
@@ -364,9 +334,6 @@ QUERIES = {
     "resample_linear": (resample_linear, LINEAR_SQL),
     "resample_ffill": (resample_ffill, FFILL_SQL),
     "asfreq_grid": (asfreq_grid, ASFREQ_SQL),
-    "resample_linear_whole": (resample_linear_whole, LINEAR_WHOLE_SQL),
-    "resample_ffill_whole": (resample_ffill_whole, FFILL_WHOLE_SQL),
-    "asfreq_grid_whole": (asfreq_grid_whole, ASFREQ_WHOLE_SQL),
     "supervised_horizons": (supervised_horizons, f"WITH {_SUPERVISED} SELECT time_idx, node_idx, y, {', '.join(_TARGETS)} FROM su"),
     "supervised_by_time": (supervised_by_time, BY_TIME_SQL),
     "time_split": (time_split, SPLIT_SQL),

@@ -77,28 +77,18 @@ CELL_SQL = f"""WITH {_GRID}, p AS (SELECT station_id, grid_id, sqrt((s.lat - gd.
 SELECT station_id, grid_id FROM p QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY dist, grid_id) = 1"""
 
 
-def _incidents(spark, d):
-    """Each 97th reading is the start of an incident of ten hours near its station."""
-    at = readings(spark, d).where("event_id % 97 = 0").join(stations(spark, d), "station_id")
-    return at.select(F.col("ts").alias("start_time"), F.timestamp_add("HOUR", F.lit(10), F.col("ts")).alias("end_time"), (F.col("lat") + 0.003).alias("lat"), "lon")
-
-
 def event_radius_range_join(spark, d):
-    out = proximity.radius_range_join(readings(spark, d), stations(spark, d), _incidents(spark, d), 1.0, "ts")
-    return out.select("event_id", "in_event")
-
-
-INCIDENT_SQL = f"""WITH {READINGS}, {STATIONS}, ev AS (SELECT ts AS start_time, ts + INTERVAL 10 HOUR AS end_time, lat + 0.003e0 AS lat, lon FROM r JOIN s USING (station_id) WHERE event_id % 97 = 0)
-SELECT event_id, EXISTS (SELECT 1 FROM ev WHERE ts BETWEEN start_time AND end_time AND {_KM.format(a="s", b="ev")} <= 1) AS in_event FROM r JOIN s USING (station_id)"""
-
-
-def event_radius_range_join_whole(spark, d):
     """Each reading over the logical bound is the start of an incident of ten hours near its station."""
     at = readings(spark, d).where("mask_logic").join(stations(spark, d), "station_id")
     incidents = at.select(F.col("ts").alias("start_time"), F.timestamp_add("HOUR", F.lit(10), F.col("ts")).alias("end_time"), (F.col("lat") + 0.003).alias("lat"), "lon")
     return proximity.radius_range_join(readings(spark, d), stations(spark, d), incidents, 1.0, "ts").select("event_id", "in_event")
 
 
+INCIDENT_SQL = f"""WITH {READINGS}, {STATIONS}, ev AS (SELECT station_id, lat + 0.003e0 AS lat, lon FROM s),
+cl AS (SELECT s.station_id, ev.station_id AS other FROM s, ev WHERE {_KM.format(a="s", b="ev")} <= 1)
+SELECT event_id, EXISTS (SELECT 1 FROM cl JOIN r x ON x.station_id = cl.other WHERE cl.station_id = r.station_id AND x.mask_logic AND r.ts BETWEEN x.ts AND x.ts + INTERVAL 10 HOUR) AS in_event FROM r"""
+
+
 def topology(spark, d):
     rows = stations(spark, d)
     meta = rows.select("station_id", F.when(F.col("station_id") % 10 != 3, F.col("gy").cast("double")).alias("lat"), F.col("gx").cast("double").alias("lon")).where("station_id % 13 <> 5")
@@ -152,15 +142,11 @@ HORIZON_SQL = REACH_SQL.rsplit("SELECT", 1)[0] + f"""SELECT horizon, count(*) AS
 JOIN (VALUES ('5min', 0.08333e0), ('15min', 0.2501e0), ('30min', {LIMIT}e0)) h(horizon, lim) ON dist <= lim GROUP BY horizon"""
 
 
-def _sparse(spark, d):
-    return _edges(spark, d).where("(src * 7 + dst * 3) % 11 < 2")
-
-
 def connected_components(spark, d):
-    return graph.connected_components(_sparse(spark, d), "src", "dst")
+    return graph.connected_components(_edges(spark, d), "src", "dst")
 
 
-COMPONENT_SQL = f"""WITH RECURSIVE {_EDGES}, sp AS (SELECT * FROM ed WHERE (src * 7 + dst * 3) % 11 < 2), un AS (SELECT src AS a, dst AS b FROM sp UNION SELECT dst, src FROM sp),
+COMPONENT_SQL = f"""WITH RECURSIVE {_EDGES}, sp AS (SELECT * FROM ed), un AS (SELECT src AS a, dst AS b FROM sp UNION SELECT dst, src FROM sp),
 cc(node, other) AS (SELECT a, a FROM un UNION SELECT cc.node, un.b FROM cc JOIN un ON un.a = cc.other) SELECT node, min(other) AS component FROM cc GROUP BY node"""
 
 
@@ -169,63 +155,31 @@ def component_sizes(spark, d):
 
 
 def degree_stats(spark, d):
-    out = graph.degrees(_sparse(spark, d), _nodes(spark, d))
+    out = graph.degrees(_edges(spark, d), _nodes(spark, d))
     return out.agg(quantize(F.avg("degree")).alias("mean"), F.max("degree").alias("largest"), F.count_if(F.col("degree") == 1).alias("ones"), F.count_if(F.col("degree") == 0).alias("isolated"))
 
 
-DEGREE_SQL = f"""WITH {_EDGES}, sp AS (SELECT * FROM ed WHERE (src * 7 + dst * 3) % 11 < 2), en AS (SELECT src AS n FROM sp UNION ALL SELECT dst FROM sp),
+DEGREE_SQL = f"""WITH {_EDGES}, sp AS (SELECT * FROM ed), en AS (SELECT src AS n FROM sp UNION ALL SELECT dst FROM sp),
 dg AS (SELECT station_id, count(n) AS degree FROM s LEFT JOIN en ON n = station_id GROUP BY station_id)
 SELECT {q("avg(degree)", "mean")}, max(degree) AS largest, count(*) FILTER (WHERE degree = 1) AS ones, count(*) FILTER (WHERE degree = 0) AS isolated FROM dg"""
 
 
 def neighbor_mean(spark, d):
-    values = readings(spark, d).groupBy("station_id").agg(F.avg("speed").alias("speed"), F.avg("occupancy").alias("occupancy"))
-    out = graph.neighbour_aggregate(_sparse(spark, d), values, ["speed", "occupancy"], key="station_id")
-    return out.select("station_id", *(quantize(F.col(c)).alias(c) for c in ("speed", "occupancy")))
-
-
-MEAN_SQL = f"""WITH {READINGS}, {_EDGES}, sp AS (SELECT * FROM ed WHERE (src * 7 + dst * 3) % 11 < 2), v AS (SELECT station_id, avg(speed) AS speed, avg(occupancy) AS occupancy FROM r GROUP BY 1)
-SELECT s.station_id, {q("coalesce(avg(v.speed), 0)", "speed")}, {q("coalesce(avg(v.occupancy), 0)", "occupancy")} FROM s LEFT JOIN sp ON sp.src = s.station_id LEFT JOIN v ON v.station_id = sp.dst GROUP BY s.station_id"""
-
-
-def connected_components_whole(spark, d):
-    return graph.connected_components(_edges(spark, d), "src", "dst")
-
-
-def component_sizes_whole(spark, d):
-    return graph.component_sizes(connected_components_whole(spark, d))
-
-
-def degree_stats_whole(spark, d):
-    out = graph.degrees(_edges(spark, d), _nodes(spark, d))
-    return out.agg(quantize(F.avg("degree")).alias("mean"), F.max("degree").alias("largest"), F.count_if(F.col("degree") == 1).alias("ones"), F.count_if(F.col("degree") == 0).alias("isolated"))
-
-
-def neighbor_mean_whole(spark, d):
     values = readings(spark, d).groupBy("station_id").agg(F.avg("speed").alias("speed"), F.avg("occupancy").alias("occupancy"))
     out = graph.neighbour_aggregate(_edges(spark, d), values, ["speed", "occupancy"], key="station_id")
     return out.select("station_id", *(quantize(F.col(c)).alias(c) for c in ("speed", "occupancy")))
 
 
-def _whole(sql: str) -> str:
-    """A query's SQL over all edges."""
-    return sql.replace("sp AS (SELECT * FROM ed WHERE (src * 7 + dst * 3) % 11 < 2)", "sp AS (SELECT * FROM ed)")
+MEAN_SQL = f"""WITH {READINGS}, {_EDGES}, sp AS (SELECT * FROM ed), v AS (SELECT station_id, avg(speed) AS speed, avg(occupancy) AS occupancy FROM r GROUP BY 1)
+SELECT s.station_id, {q("coalesce(avg(v.speed), 0)", "speed")}, {q("coalesce(avg(v.occupancy), 0)", "occupancy")} FROM s LEFT JOIN sp ON sp.src = s.station_id LEFT JOIN v ON v.station_id = sp.dst GROUP BY s.station_id"""
 
 
 def scatter_add(spark, d):
-    rows = readings(spark, d).where("k % 7 = 0").select((F.col("station_id") % 60).alias("row"), F.col("k").cast("long").alias("k"))
-    return graph.scatter_add(rows, stations(spark, d), ["k"], key="station_id")
-
-
-SCATTER_SQL = f"""WITH {READINGS}, {STATIONS} SELECT s.station_id, CAST(coalesce(sum(t.k), 0) AS BIGINT) AS k FROM s LEFT JOIN (SELECT station_id % 60 AS row, k FROM r WHERE k % 7 = 0) t ON t.row = s.station_id GROUP BY 1"""
-
-
-def scatter_add_whole(spark, d):
     rows = readings(spark, d).select(F.col("station_id").alias("row"), F.col("k").cast("long").alias("k"))
     return graph.scatter_add(rows, stations(spark, d), ["k"], key="station_id")
 
 
-SCATTER_WHOLE_SQL = f"WITH {READINGS} SELECT station_id, CAST(coalesce(sum(k), 0) AS BIGINT) AS k FROM r GROUP BY station_id"
+SCATTER_SQL = f"WITH {READINGS} SELECT station_id, CAST(coalesce(sum(k), 0) AS BIGINT) AS k FROM r GROUP BY station_id"
 
 
 def fanout_sample(spark, d):
@@ -259,20 +213,14 @@ def node_positions(spark, d):
 
 
 def graph_gaps(spark, d):
-    """Stations that no kept edge touches."""
-    touched = _sparse(spark, d).select(F.explode(F.array("src", "dst")).alias("station_id"))
-    return tables.set_report(stations(spark, d).select("station_id"), touched, "station_id").where("side = 'left'").select("station_id")
-
-
-GAPS_SQL = f"WITH {_EDGES}, sp AS (SELECT * FROM ed WHERE (src * 7 + dst * 3) % 11 < 2) SELECT station_id FROM s WHERE station_id NOT IN (SELECT src FROM sp UNION ALL SELECT dst FROM sp)"
-
-
-def graph_gaps_whole(spark, d):
     """Stations that no edge touches."""
     touched = _edges(spark, d).select(F.explode(F.array("src", "dst")).alias("station_id"))
     return tables.set_report(stations(spark, d).select("station_id"), touched, "station_id").where("side = 'left'").select("station_id")
 
 
+GAPS_SQL = f"WITH {_EDGES}, sp AS (SELECT * FROM ed) SELECT station_id FROM s WHERE station_id NOT IN (SELECT src FROM sp UNION ALL SELECT dst FROM sp)"
+
+
 def edge_distance(spark, d):
     """Great-circle kilometres of the first generation's chain edges."""
     chain = graph.chain_edges(stations(spark, d), ["freeway"], "abs_pm")
@@ -291,7 +239,6 @@ QUERIES = {
     "weather_grid": (weather_grid, GRID_SQL),
     "nearest_cell": (nearest_cell, CELL_SQL),
     "event_radius_range_join": (event_radius_range_join, INCIDENT_SQL),
-    "event_radius_range_join_whole": (event_radius_range_join_whole, None),
     "topology": (topology, TOPOLOGY_SQL),
     "chain_edges_union": (chain_edges_union, CHAIN_SQL),
     "edge_lengths": (edge_lengths, f"WITH {_LENGTHS} SELECT src, dst, {q('length', 'length')} FROM le"),
@@ -301,13 +248,7 @@ QUERIES = {
     "component_sizes": (component_sizes, f"SELECT component, count(*) AS size FROM ({COMPONENT_SQL}) GROUP BY component"),
     "degree_stats": (degree_stats, DEGREE_SQL),
     "neighbor_mean": (neighbor_mean, MEAN_SQL),
-    "connected_components_whole": (connected_components_whole, None),
-    "component_sizes_whole": (component_sizes_whole, None),
-    "degree_stats_whole": (degree_stats_whole, _whole(DEGREE_SQL)),
-    "neighbor_mean_whole": (neighbor_mean_whole, _whole(MEAN_SQL)),
-    "graph_gaps_whole": (graph_gaps_whole, _whole(GAPS_SQL)),
     "scatter_add": (scatter_add, SCATTER_SQL),
-    "scatter_add_whole": (scatter_add_whole, SCATTER_WHOLE_SQL),
     "fanout_sample": (fanout_sample, FANOUT_SQL),
     "fanout_hops": (fanout_hops, HOPS_SQL),
     "induced_subgraph": (induced_subgraph, INDUCED_SQL),

@@ -38,13 +38,13 @@ OVERLAP_SQL = f"WITH {READINGS} " + " UNION ALL ".join(
 def _labels(spark, d):
     events = table(spark, d, "events")
     stations = events.select(F.col("user_id").alias("station_id")).distinct()
-    days = events.select(F.to_date("ts").alias("slice_date")).distinct().where(F.day("slice_date") % 7 == 1)
+    days = events.select(F.to_date("ts").alias("slice_date")).distinct()
     good = events.select(F.col("user_id").alias("station_id"), F.to_date("ts").alias("slice_date")).distinct()
     return quality.snapshot_labels(stations, days, good)
 
 
 _LABELS = """
-d AS (SELECT DISTINCT CAST(ts AS DATE) AS slice_date FROM events WHERE day(ts) % 7 = 1),
+d AS (SELECT DISTINCT CAST(ts AS DATE) AS slice_date FROM events),
 good AS (SELECT DISTINCT user_id AS station_id, CAST(ts AS DATE) AS slice_date FROM events),
 l AS (SELECT station_id, slice_date, CASE WHEN g.station_id IS NULL THEN -1e0 ELSE 0.9e0 END AS li
       FROM (SELECT DISTINCT user_id AS station_id FROM events) CROSS JOIN d LEFT JOIN good g USING (station_id, slice_date))"""
@@ -255,12 +255,12 @@ FINITE_SQL = f"WITH {READINGS} SELECT 0::BIGINT AS nan_flow, 0::BIGINT AS inf_fl
 
 def station_outer_merge(spark, d):
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
-    s = table(spark, d, "supplier").where("s_nationkey % 3 = 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
+    s = table(spark, d, "supplier").groupBy((F.col("s_nationkey") + 5).alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
     return tables.outer_merge(c, s, "nation", ("_d", "_topo"))
 
 
 MERGE_SQL = """WITH c AS (SELECT c_nationkey AS nation, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS b FROM customer GROUP BY 1),
-s AS (SELECT s_nationkey AS nation, count(*) AS n, CAST(sum(CAST(s_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS b FROM supplier WHERE s_nationkey % 3 = 0 GROUP BY 1)
+s AS (SELECT s_nationkey + 5 AS nation, count(*) AS n, CAST(sum(CAST(s_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS b FROM supplier GROUP BY 1)
 SELECT coalesce(c.nation, s.nation) AS nation, c.n AS n_d, c.b AS balance_d, s.n AS n_topo, s.b AS balance_topo FROM c FULL OUTER JOIN s ON c.nation = s.nation"""
 
 
@@ -274,10 +274,10 @@ FIRST_SQL = f"WITH {READINGS} SELECT event_id, station_id, CAST(ts AS DATE) AS d
 
 def sets_union_except(spark, d):
     rows = readings(spark, d)
-    return tables.set_report(rows.where("mask_md"), rows.where("mask_hf AND k % 5 = 0"), "station_id")
+    return tables.set_report(rows.where("mask_md"), rows.where("mask_hf"), "station_id")
 
 
-SETS_SQL = f"""WITH {READINGS}, a AS (SELECT DISTINCT station_id FROM r WHERE mask_md), b AS (SELECT DISTINCT station_id FROM r WHERE mask_hf AND k % 5 = 0)
+SETS_SQL = f"""WITH {READINGS}, a AS (SELECT DISTINCT station_id FROM r WHERE mask_md), b AS (SELECT DISTINCT station_id FROM r WHERE mask_hf)
 SELECT coalesce(a.station_id, b.station_id) AS station_id, CASE WHEN b.station_id IS NULL THEN 'left' WHEN a.station_id IS NULL THEN 'right' ELSE 'both' END AS side
 FROM a FULL OUTER JOIN b ON a.station_id = b.station_id"""
 

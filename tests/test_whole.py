@@ -1,4 +1,4 @@
-"""The whole-table forms of queries whose SQL keeps a part of the rows."""
+"""Queries over whole tables against brute force."""
 
 import math
 import os
@@ -19,9 +19,9 @@ def test_resampling_takes_every_hour(spark):
     known = {(r.direction, r.hour): r.y for r in hourly(spark, SF).collect()}
     half = timedelta(minutes=30)
     inner = {(d, t + half) for d, t in known if (d, t + 2 * half) in known}
-    linear = {(r.direction, r.hour): r.y for r in QUERIES["resample_linear_whole"](spark, SF).collect()}
-    filled = {(r.direction, r.hour): r.y for r in QUERIES["resample_ffill_whole"](spark, SF).collect()}
-    grid = {(r.direction, r.hour): r.y for r in QUERIES["asfreq_grid_whole"](spark, SF).collect()}
+    linear = {(r.direction, r.hour): r.y for r in QUERIES["resample_linear"](spark, SF).collect()}
+    filled = {(r.direction, r.hour): r.y for r in QUERIES["resample_ffill"](spark, SF).collect()}
+    grid = {(r.direction, r.hour): r.y for r in QUERIES["asfreq_grid"](spark, SF).collect()}
     assert set(linear) == set(filled) == set(grid) == set(known) | inner
     for d, t in inner:
         a, b = known[d, t - half], known[d, t + half]
@@ -50,17 +50,17 @@ def test_graph_queries_take_every_edge(spark, nearest):
             if x not in want:
                 want[x] = a
                 front += both[x]
-    assert {r.node: r.component for r in QUERIES["connected_components_whole"](spark, SF).collect()} == want
-    assert {r.component: r["size"] for r in QUERIES["component_sizes_whole"](spark, SF).collect()} == Counter(want.values())
+    assert {r.node: r.component for r in QUERIES["connected_components"](spark, SF).collect()} == want
+    assert {r.component: r["size"] for r in QUERIES["component_sizes"](spark, SF).collect()} == Counter(want.values())
     degree = Counter(x for a, near in nearest.items() for b in near for x in (a, b))
-    row = QUERIES["degree_stats_whole"](spark, SF).first()
+    row = QUERIES["degree_stats"](spark, SF).first()
     assert (row["mean"], row["largest"], row["ones"], row["isolated"]) == (10, max(degree.values()), 0, 0)
-    assert QUERIES["graph_gaps_whole"](spark, SF).collect() == []
+    assert QUERIES["graph_gaps"](spark, SF).collect() == []
     sums = defaultdict(list)
     for r in readings(spark, SF).select("station_id", "occupancy").collect():
         sums[r.station_id].append(r.occupancy)
     mean = {k: sum(v) / len(v) for k, v in sums.items()}
-    got = {r.station_id: r.occupancy for r in QUERIES["neighbor_mean_whole"](spark, SF).collect()}
+    got = {r.station_id: r.occupancy for r in QUERIES["neighbor_mean"](spark, SF).collect()}
     assert got == {a: pytest.approx(sum(mean[b] for b in near) / 5, abs=1e-5) for a, near in nearest.items()}
 
 
@@ -73,7 +73,7 @@ def test_incidents_are_all_readings_over_the_bound(spark):
         return 2 * 6371 * math.asin(math.sqrt(math.sin((lat - a) / 2) ** 2 + math.cos(a) * math.cos(lat) * math.sin((lon - b) / 2) ** 2)) <= 1
 
     want = {r.event_id: any(t <= r.ts <= t + timedelta(hours=10) and close(*at[r.station_id], lat, lon) for t, lat, lon in starts) for r in rows}
-    got = {r.event_id: r.in_event for r in QUERIES["event_radius_range_join_whole"](spark, SF).collect()}
+    got = {r.event_id: r.in_event for r in QUERIES["event_radius_range_join"](spark, SF).collect()}
     assert got == want and all(got[r.event_id] for r in rows if r.mask_logic)
 
 
@@ -81,7 +81,7 @@ def test_scatter_sums_every_reading(spark):
     want = Counter()
     for r in readings(spark, SF).select("station_id", "k").collect():
         want[r.station_id] += r.k
-    assert {r.station_id: r.k for r in QUERIES["scatter_add_whole"](spark, SF).collect()} == dict(want)
+    assert {r.station_id: r.k for r in QUERIES["scatter_add"](spark, SF).collect()} == dict(want)
 
 
 @pytest.mark.parametrize("name", ["rf_baseline", "neighbor_regression"])
