@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillstone.plans import fills, forecasts, places, scores
+from rillstone.plans import exchange, fills, forecasts, places, scores
 
-_ALL = {**fills.QUERIES, **scores.QUERIES, **places.QUERIES, **forecasts.QUERIES}
+_ALL = {**fills.QUERIES, **scores.QUERIES, **places.QUERIES, **forecasts.QUERIES, **exchange.QUERIES}
 
 
 def queries() -> dict:
