@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A new path under the session's ``spark.checkpoint.dir``.
 
-    Where that is unset (tests on one machine) a temporary folder is made and set.
+    Where that is unset and the master is local, as in tests, a temporary folder is made and set;
+    on a cluster, whose machines have no such folder in common, that is a RuntimeError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="rillstone-")
         spark.sparkContext.setCheckpointDir(base)
