@@ -8,9 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.storage import durable, shared_dir
+from rillstone.storage import durable, scratch, shared_dir
 
-__all__ = ["SLICE_BYTES", "content_key", "durable", "flat_bytes", "held_out", "numbered", "shared_dir", "sized_join", "spare_name", "text_or_empty", "text_slices", "train_fold"]
+__all__ = ["SLICE_BYTES", "content_key", "durable", "flat_bytes", "held_out", "numbered", "scratch", "shared_dir", "sized_join", "spare_name", "text_or_empty", "text_slices", "train_fold"]
 
 #: A table is broadcast only if it is counted to have at most so many rows (of some 200 bytes at most).
 BROADCAST_ROWS = 200_000
@@ -40,7 +40,7 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and "_metadata" not in map(str.lower, docs.columns):
         if plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat":
             return docs.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias(row))
-    return durable(docs.select("*", F.monotonically_increasing_id().alias(row)))
+    return durable(docs.select("*", F.monotonically_increasing_id().alias(row)))  # call it outside of a scratch scope
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, weight: Column | None = None, most: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, durable, numbered, sized_join, spare_name, text_or_empty
+from .common import content_key, durable, numbered, scratch, sized_join, spare_name, text_or_empty
 
 #: Characters that don't count when texts are compared.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -69,8 +69,9 @@ def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The input rows that stay, with the input's columns; cases as in ``exact_dedup``."""
     row = spare_name(docs, "_row")
     named = numbered(docs, row)
-    verdicts = _verdicts(named.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row).alias("_row")), content_key)
-    dropped = durable(verdicts.where(~F.col("kept")).select(F.col("_row").alias(row)))
+    with scratch(docs.sparkSession):
+        verdicts = _verdicts(named.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row).alias("_row")), content_key)
+        dropped = durable(verdicts.where(~F.col("kept")).select(F.col("_row").alias(row)), outlive=True)
     return sized_join(named, dropped, row, "left_anti").select(*docs.columns)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rillstone.operators.components import connected_components
 
 from .bytehash import RangeHash, mix, spans, word_digests
-from .common import content_key, durable, flat_bytes, numbered, sized_join, spare_name, text_or_empty, text_slices
+from .common import content_key, durable, flat_bytes, numbered, scratch, sized_join, spare_name, text_or_empty, text_slices
 
 WORDS = 5
 #: Sets are linked with a similarity of at least 4/5; kept as a fraction for exact tests.
@@ -376,11 +376,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The input's rows, one of each class: that with the least id, then the first in the input. Wordless rows stay."""
     row = spare_name(docs, "_row")
     named = numbered(docs, row)
-    classes = durable(jaccard_classes(named, id_col, text_col, row=row))
-    grouped = classes.where("n_links > 0 OR n_copies > 0")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row"))
-    best = grouped.groupBy("_class").agg(first.alias("_best")).select(F.col("_best._row").alias("_row"))
-    dropped = durable(grouped.join(best, "_row", "left_anti").select(F.col("_row").alias(row)))
+    with scratch(docs.sparkSession):
+        classes = durable(jaccard_classes(named, id_col, text_col, row=row))
+        grouped = classes.where("n_links > 0 OR n_copies > 0")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row"))
+        best = grouped.groupBy("_class").agg(first.alias("_best")).select(F.col("_best._row").alias("_row"))
+        dropped = durable(grouped.join(best, "_row", "left_anti").select(F.col("_row").alias(row)), outlive=True)
     return sized_join(named, dropped, row, "left_anti").select(*docs.columns)
 
 

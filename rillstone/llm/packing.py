@@ -14,7 +14,7 @@ from .exact_dedup import SPACES
 
 #: Bytes of a bin.
 CAPACITY = 8192
-#: Documents that are packed with one another: each task packs its rows in shards of so many.
+#: Documents that are packed with one another: rows are dealt by hash to as many tasks as fill shards of so many.
 SHARD_ROWS = 4096
 
 
@@ -94,27 +94,34 @@ def _packer(capacity: int, shard_rows: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster_col: str | None = None) -> DataFrame:
     """One row per piece of a document: doc_id, piece, start, length, bin_id, bin_offset (bytes).
 
     No text is cut short: one longer than a bin fills whole bins of its own first, and its rest
     is packed with others. Two rests in a bin have different sources (a null source is one
-    source) and different duplicate clusters (texts that are equal without white space). Null
-    and empty texts have one piece of length 0 without a bin. Repeated rows are packed each; an
-    empty table gives an empty result.
-
-    Rows are dealt out round-robin and carry no text, so hot sources and clusters spread evenly
-    and a task's memory is bounded by its shard.
+    source) and different duplicate clusters: values of ``cluster_col``, such as the classes of a
+    similarity join (null is one cluster), or else texts that are equal without white space.
+    Null and empty texts have one piece of length 0 without a bin. Repeated rows are packed each;
+    an empty table gives an empty result.
+
+    Rows carry no text. They are dealt by a hash of id and text, so hot sources and clusters
+    spread evenly, and are packed in the order of that hash, so bins depend on the rows, their
+    number and ``spark.sql.shuffle.partitions`` (an upper bound of the tasks), and not on the
+    input's partitions. Bins of different shards aren't merged: a shard ends with its own open bins.
     """
     text = text_or_empty(text_col)
+    same_text = content_key(F.regexp_replace(text, SPACES, ""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        content_key(F.regexp_replace(text, SPACES, "")).alias("cluster"),
+        (F.col(cluster_col).cast("string") if cluster_col else same_text).alias("cluster"),
         F.octet_length(text).cast("long").alias("length"),
+        F.xxhash64(F.col(id_col).cast("long"), same_text).alias("_order"),
     )
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks).mapInArrow(_packer(capacity, shard_rows), _OUT)
+    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(most, -(-docs.count() // shard_rows)))
+    dealt = rows.repartition(tasks, "_order").sortWithinPartitions("_order", "doc_id", "length", "source", "cluster")
+    return dealt.drop("_order").mapInArrow(_packer(capacity, shard_rows), _OUT)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

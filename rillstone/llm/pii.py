@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, numbered, sized_join, spare_name, text_slices
+from .common import durable, numbered, scratch, sized_join, spare_name, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Lexical patterns look at so many characters on either side of an identifier, within its line.
@@ -306,7 +306,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """
     row, found = spare_name(docs, "_row"), spare_name(docs, "_spans")
     named = numbered(docs, row)
-    spans = durable(all_spans(named, id_col, text_col, row).where(F.size("spans") > 0).select(F.col("_row").alias(row), F.col("spans").alias(found)))
+    with scratch(docs.sparkSession):
+        spans = durable(all_spans(named, id_col, text_col, row).where(F.size("spans") > 0).select(F.col("_row").alias(row), F.col("spans").alias(found)), outlive=True)
     return sized_join(named, spans, row, "left", F.size(found)).drop(row).mapInArrow(_redactor(text_col, length_col, found), docs.schema)
 
 

@@ -58,3 +58,38 @@ def test_stages_against_brute_force(spark, tmp_path):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
         assert r.length <= CAPACITY
     assert got == sizes
+
+
+def test_run_applies_all_stages(spark, tmp_path, make_docs, edge_rows):
+    """``run`` over a small table with nulls, empty texts, ties, repeated rows and columns with clashing names."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    near = " ".join(words * 6)
+    rows = [r for r in edge_rows] + [(200 + i, " ".join(words[(i + k) % 12] + "abcdefgh"[k % 8] for k in range(30 + i)), "en", "s", 1, 7, True, 1, "x", "k", 0.5, "c") for i in range(20)]
+    rows += [(300, near, None, None, None, None, None, None, None, None, None, None), (301, near + " nu", None, None, None, None, None, None, None, None, None, None)]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, None if i % 5 else i % 2) for i in range(200, 220)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = {r.doc_id for r in out.collect()}
+    assert out.columns == ["doc_id", "piece", "start", "length", "bin_id", "bin_offset"]
+    assert 300 in got and 301 not in got and {3, 8, 9} <= got and 4 not in got
+    assert out.groupBy("doc_id").agg({"length": "sum"}).where("doc_id = 300").first()[1] == len(near)
+
+    docs = make_docs(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns and after.schema == docs.schema, name
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.collect() == [] and empty.columns == docs.columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_scratch_tables_go(spark):
+    from rillstone import storage
+
+    with storage.scratch(spark):
+        first = storage.durable(spark.range(3).toDF("i"))
+        last = storage.durable(first, outlive=True)
+        inner = first.inputFiles()[0]
+    assert last.count() == 3
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(inner)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
