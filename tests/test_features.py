@@ -163,3 +163,108 @@ def test_streaming_windows_and_state(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.station_id, r.filled) for r in spark.table("carried").collect()) == [(1, 1.0), (1, 1.0), (1, 2.0), (2, 4.0)]
+
+
+def test_late_rows_under_a_watermark(spark, tmp_path):
+    """A row older than the watermark of an earlier batch is left out, one within it counts."""
+    schema = "station_id long, timestamp timestamp_ntz, value double"
+    path = str(tmp_path / "late")
+    batch = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    batch([(1, at(0), 1.0), (1, at(12), 2.0)])  # 0:00 and 1:00
+    stream = spark.readStream.schema(schema).parquet(path)
+    query = windows.tumbling(stream, "timestamp", "10 minutes", ["station_id"], "value", "10 minutes").writeStream.format("memory").queryName("late_rows").outputMode("append").start()
+    try:
+        query.processAllAvailable()
+        batch([(1, at(1), 100.0), (1, at(11), 4.0)])  # 0:05 is before 1:00 less ten minutes, 0:55 isn't
+        query.processAllAvailable()
+        batch([(1, at(60), 0.0)])
+        query.processAllAvailable()
+        got = {r.window_start.replace(tzinfo=None): (r.n, r.total) for r in spark.sql("SELECT * FROM late_rows").collect()}
+    finally:
+        query.stop()
+    assert got == {at(0): (1, 1.0), at(10): (1, 4.0), at(12): (1, 2.0)}
+
+
+def test_first_neighbours_flat_cells_and_assertions(spark):
+    from rillstone.operators import graph
+
+    edges = spark.createDataFrame([(1, 5), (1, 3), (1, 3), (1, 9), (2, 1)], "src long, dst long")
+    assert [tuple(r) for r in graph.first_neighbours(edges, 1, 2).collect()] == [(1, 3), (2, 5)] and graph.first_neighbours(edges, 7, 2).collect() == []
+    assert [tuple(r) for r in graph.first_edges(edges, 2).collect()] == [(1, 3), (1, 5)]
+    cells = [tuple(r) for r in tables.flat_sample(spark, 6, 4, 10, 1).collect()]
+    assert len(set(cells)) == 10 and all(0 <= t < 6 and 0 <= n < 4 for t, n in cells) and len(tables.flat_sample(spark, 2, 2, 10).collect()) == 4
+    tables.assert_disjoint(edges.where("src = 1"), edges.where("src = 2"), ["src"])
+    with pytest.raises(ValueError, match="disjoint"):
+        tables.assert_disjoint(edges, edges.where("src = 2"), ["src", "dst"])
+
+
+def test_running_counts_and_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *[round(rng.gauss(0, 3), 1) for _ in range(9)]])) for _ in range(400)] + [("only", None), ("one", 2.5)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"a": 0.01, "b": 0.5, "c": 0.99, "d": 0.0, "e": 1.0}
+    groups = {g: sorted(v for h, v in rows if h == g and v is not None) for g in {g for g, _ in rows}}
+    got = {r.g: [r[n] for n in shares] for r in tables.quantiles(frame, "v", shares, ["g"]).collect()}
+    assert got.keys() == {g for g, vs in groups.items() if vs}
+    for g, values in got.items():
+        assert values == pytest.approx([float(np.quantile(groups[g], q)) for q in shares.values()])
+    every = sorted(v for _, v in rows if v is not None)
+    assert list(tables.quantiles(frame, "v", shares).first()) == pytest.approx([float(np.quantile(every, q)) for q in shares.values()])
+    counts = {(r.g, r.value): (r.c, r.upto, r.n) for r in tables.running_counts(frame, "v", ["g"]).collect()}
+    assert counts == {(g, v): (vs.count(v), sum(x <= v for x in vs), len(vs)) for g, vs in groups.items() for v in set(vs)}
+    empty = frame.limit(0)
+    assert tables.running_counts(empty, "v", ["g"]).collect() == [] and tables.quantiles(empty, "v", shares).first()["b"] is None
+    described = {r.g: r.asDict() for r in tables.describe(frame, "v", ["g"]).collect()}
+    assert described["only"]["count"] == 0 and described["only"]["q50"] is None and described[None]["q50"] == pytest.approx(float(np.median(groups[None])))
+
+
+def test_no_window_without_partitions_over_values(spark):
+    """Quantiles, CDFs and knees have no window over a whole group's values in their plans."""
+    frame = spark.createDataFrame([("a", float(k)) for k in range(50)], "g string, v double")
+    for out in (tables.ecdf(frame, "v", ["g"]), tables.quantiles(frame, "v", {"m": 0.5}), quality.knee_threshold(frame, "v", ["g"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "percentile" not in plan and "SinglePartition, ENSURE_REQUIREMENTS" not in "".join(line for line in plan.splitlines() if "value" in line)
+
+
+def test_sweep_rejects_large_grids_and_counts_like_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    rows = [(k % 7, k % 3, rng.choice([None, 0.0, 0.2, 0.9]), rng.random(), rng.randint(0, 1), rng.choice([True, False, None])) for k in range(300)]
+    frame = spark.createDataFrame(rows, "station_id long, date long, s5 double, s7 double, s8 int, true_bad boolean")
+    grid = [(a, b, c, t) for a, b, c in itertools.product((0.0, 0.5, 1.0), repeat=3) for t in (0.1, 0.4, 0.7)]
+    got = {(r.a5, r.a7, r.a8, r.threshold): (r.f1_time, r.f1_day) for r in quality.f1_sweep(frame, spark.createDataFrame(grid * 2, "a5 double, a7 double, a8 double, threshold double")).collect()}
+
+    def f1(pairs):
+        tp, fp, fn = (sum(t == x and p == y for t, p in pairs) for x, y in ((True, True), (False, True), (True, False)))
+        return 2 * tp / (2 * tp + fp + fn) if 2 * tp + fp + fn else 0.0
+
+    assert got.keys() == set(grid)
+    for a, b, c, t in grid:
+        flags = [((s, d), bool(y), s5 is not None and a * s5 + b * s7 + c * s8 > t) for s, d, s5, s7, s8, y in rows]
+        days = {k: (any(y for j, y, _ in flags if j == k), any(p for j, _, p in flags if j == k)) for k in {k for k, _, _ in flags}}
+        assert got[a, b, c, t] == pytest.approx((f1([f[1:] for f in flags]), f1(list(days.values()))))
+    with pytest.raises(ValueError, match="grid"):
+        quality.f1_sweep(frame, spark.range(5000).selectExpr("double(id) a5", "0d a7", "0d a8", "0d threshold"))
+
+
+def test_distances_of_too_many_groups(spark):
+    frame = spark.range(100).selectExpr("id g", "double(id) a", "double(id * id) b")
+    with pytest.raises(ValueError, match="groups"):
+        quality.mahalanobis(frame, ["a", "b"], "g")
+
+
+def test_saved_models_and_station_inference(spark, tmp_path):
+    rows = spark.createDataFrame([(s, at(k), float(k), 2.0 * k + 1) for s in (1, 2, 3) for k in range(20)], "station_id long, timestamp timestamp_ntz, x double, y double")
+    evaluate.save_model(evaluate.fit_regression(rows, ["x"], "y", 0.0), str(tmp_path / "m"))
+    model = evaluate.load_model(str(tmp_path / "m"))
+    near = spark.createDataFrame([(1, 3), (2, 1)], "station long, neighbour long")
+    got = sorted((r.station_id, r.timestamp, round(r.prediction, 6)) for r in evaluate.predict_station(model, rows, near, 1).collect())
+    assert got == [(1, at(19), 39.0), (3, at(19), 39.0)]
+    with pytest.raises(KeyError):
+        evaluate.predict_station(model, rows, near, 9)
