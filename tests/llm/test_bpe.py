@@ -53,3 +53,12 @@ def test_native_fold_and_decoding(spark):
     ids = spark.createDataFrame([([256, 259], 1), ([], 2), (None, 3), ([0xC3], 4)], "ids array<int>, n int")
     got = {r.n: r.b for r in ids.select("n", decode_ids(ids["ids"], small).alias("b")).collect()}
     assert (bytes(got[1]), bytes(got[2]), got[3], bytes(got[4])) == ("abé".encode(), b"", None, b"\xc3")
+
+
+def test_native_fold_with_the_whole_vocabulary(spark, ranks, reference):
+    """The fold of higher-order functions over the literal map of all ranks gives the library's ids."""
+    import regex
+
+    words = sorted({w for t in odd_texts()[:120] for w in regex.findall(PATTERN, t) if len(w) <= 60} | {" unbelievable", "Donaudampfschiff", "éèê", " 12345", "xqzjv" * 3})
+    rows = encode_words(spark.createDataFrame([(w,) for w in words], "word string"), ranks).collect()
+    assert {r.word: list(r.ids) for r in rows} == {w: reference.encode_ordinary(w) if len(reference.encode_ordinary(w)) else [] for w in words}

@@ -58,3 +58,43 @@ def test_edges(spark, make_docs, edge_rows):
     kept = t.reject_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(edge_rows)
     assert t.toxicity(make_docs([]), model).collect() == []
+
+
+def brute_score(model, text):
+    """The mean weight of all n-grams of the words, each with a blank on either side, one by one."""
+    fold = "".join(chr(c + 32) if 65 <= c <= 90 else chr(c) if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789@$!*" or c >= 128 else " " for c in text.encode())
+    data, mask, total, count = [ord(c) for c in f" {fold} "], (1 << 64) - 1, 0.0, 0
+    for n in t.GRAMS:
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if 0x20 in gram[1:-1]:
+                continue
+            h = n
+            for c in gram:
+                h = (h * 0x100000001B3 + c + 1) & mask
+            h ^= h >> 30
+            h = h * 0xBF58476D1CE4E5B9 & mask
+            h ^= h >> 27
+            h = h * 0x94D049BB133111EB & mask
+            h ^= h >> 31
+            total += float(model.weights[h >> 46])
+            count += 1
+    return 1 / (1 + np.exp(-np.clip(total / max(count, 1) + model.bias, -30, 30)))
+
+
+def test_scores_against_brute_force_and_edges_of_a_trained_model(spark, make_docs, edge_rows):
+    from tests.llm.conftest import rows_of
+
+    rows = corpus(400)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = t.train(make_docs(rows_of([r[1] for r in rows])), labels)
+    assert np.count_nonzero(model.weights) > 10
+    asked = [*edge_rows, *rows_of(["muckwretch " * 40, "m" * 100_000, "a", "ab", "É!", rows[0][1], rows[6][1]], 70)]
+    docs = make_docs(asked)
+    got = sorted(((r.doc_id, r.score, r.predicted) for r in t.toxicity(docs, model).collect()), key=str)
+    want = sorted(((r[0], brute_score(model, r[1] or "")) for r in asked), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-6)
+    assert all(g[2] == (g[1] >= 0.7) for g in got)
+    kept = t.reject_toxic(docs, model).collect()
+    assert sorted((str(tuple(r)) for r in kept)) == sorted(str(r) for r in asked if brute_score(model, r[1] or "") < 0.7)
+    assert t.reject_toxic(make_docs([]), model).collect() == []
