@@ -28,14 +28,49 @@ def snapshot_labels(stations: DataFrame, snapshots: DataFrame, good: DataFrame,
     return every.join(listed, [key, date], "left").select(key, date, F.when(F.col("_good"), F.lit(GOOD)).otherwise(F.lit(BAD)).alias("li"))
 
 
+def _decayed(labels: DataFrame, half_life: Column, keys: list[str], date: str) -> DataFrame:
+    """(keys, date, the sums of labels and of their weights as struct columns of num and den): ``own`` at
+    the date, ``before`` and ``after`` it strictly, ``upto`` and ``from`` it.
+
+    One fold over the sorted dates of a key in each direction carries the sums, which fade by the
+    days between, so a key costs its dates and not their square.
+    """
+    fade = lambda days: F.exp(-F.lit(float(np.log(2))) / half_life * days.cast("double"))
+    sums = labels.where(F.col(date).isNotNull()).groupBy(*keys, date).agg(F.struct(F.coalesce(F.sum("li"), F.lit(0.0)).alias("num"), F.count(F.lit(1)).cast("double").alias("den")).alias("own"))
+    lists = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), "own"))).alias("s"))
+    pair = lambda num, den: F.struct(num.alias("num"), den.alias("den"))
+    none = "array<struct<past:struct<num:double,den:double>,all:struct<num:double,den:double>>>"
+
+    def step(acc, x):
+        w = F.when(acc["d"].isNull(), F.lit(0.0)).otherwise(fade(F.abs(F.datediff(x["d"], acc["d"]))))
+        past = pair(acc["num"] * w, acc["den"] * w)
+        both = pair(past["num"] + x["own"]["num"], past["den"] + x["own"]["den"])
+        return F.struct(x["d"].alias("d"), both["num"].alias("num"), both["den"].alias("den"), F.concat(acc["out"], F.array(F.struct(past.alias("past"), both.alias("all")))).alias("out"))
+
+    start = F.struct(F.lit(None).cast("date").alias("d"), F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.array().cast(none).alias("out"))
+    fold = lambda c: F.aggregate(c, start, step, lambda acc: acc["out"])
+    each = lists.select(*keys, F.explode(F.arrays_zip("s", fold(F.col("s")).alias("f"), F.reverse(fold(F.reverse("s"))).alias("b"))).alias("e"))
+    return each.select(*keys, F.col("e.s.d").alias(date), F.col("e.s.own").alias("own"), F.col("e.f.past").alias("before"), F.col("e.f.all").alias("upto"), F.col("e.b.past").alias("after"), F.col("e.b.all").alias("from"))
+
+
 def health_decay(labels: DataFrame, calendar: DataFrame, half_life: float, key: str = "station_id", date: str = "slice_date") -> DataFrame:
     """(key, date, score, health_conf): labels averaged with weights that halve every ``half_life`` days, before and after.
 
-    Weights too small for a double sum to 0; the score is then null.
+    Sums run forward and back over a key's labels; a day takes those of the nearest label on each
+    side. Weights too small for a double sum to 0; the score is then null. Labels without a key
+    or date take no part.
     """
-    days = F.broadcast(calendar.select(F.col(calendar.columns[0]).alias("date")).distinct())
-    weight = F.exp(-F.lit(float(np.log(2))) / half_life * F.abs(F.datediff(F.col("date"), F.col(date))).cast("double"))
-    scored = labels.join(days).select(key, "date", "li", weight.alias("w")).groupBy(key, "date").agg(F.try_divide(F.sum(F.col("w") * F.col("li")), F.sum("w")).alias("score"))
+    labels = labels.where(F.col(key).isNotNull() & F.col(date).isNotNull()).withColumn(date, F.col(date).cast("date"))
+    days = F.broadcast(calendar.select(F.col(calendar.columns[0]).cast("date").alias("date")).distinct())  # one row a day
+    sums = _decayed(labels, F.lit(float(half_life)), [key], date).select(key, F.col(date).alias("date"), F.struct(F.col(date).alias("d"), "upto", "from").alias("at"))
+    asked = labels.select(key).distinct().join(days).withColumn("_asked", F.lit(True))
+    rows = asked.join(sums, [key, "date"], "full_outer")
+    back = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumns({"_b": F.last("at", True).over(back), "_a": F.last("at", True).over(ahead)}).where("_asked")
+    weight = lambda side: F.coalesce(F.exp(-F.lit(float(np.log(2))) / half_life * F.abs(F.datediff("date", F.col(f"{side}.d"))).cast("double")), F.lit(0.0))
+    total = lambda part: weight("_b") * F.coalesce(F.col(f"_b.upto.{part}"), F.lit(0.0)) + weight("_a") * F.coalesce(F.col(f"_a.from.{part}"), F.lit(0.0))
+    scored = near.select(key, "date", F.try_divide(total("num"), total("den")).alias("score"))
     return scored.withColumn("health_conf", (F.col("score") - BAD) / (GOOD - BAD))
 
 
@@ -43,20 +78,20 @@ def half_life_sweep(labels: DataFrame, half_lives: list[float], key: str = "stat
     """(half_life, mid, ext, loss): how well the score at each date between a station's first and last snapshots tells the label there.
 
     mid is the mean squared error at the inner snapshot dates, ext at the outer two; the loss is
-    0.8 mid + 0.2 ext. With ``exclude_snapshots`` a date's own label has no part in its score.
-    The half-lives are a small table, all measured in one aggregation.
+    0.8 mid + 0.2 ext. With ``exclude_snapshots`` a date's own labels have no part in its score.
+    The half-lives are a small table; labels are never paired with one another. Labels without a
+    key or date take no part.
     """
-    table = F.explode(F.array(*map(F.lit, map(float, half_lives))))
-    grid = labels.select(key, F.col(date).alias("d0"), F.col("li").alias("truth")).select("*", table.alias("half_life"))
-    pairs = grid.join(labels.select(F.col(key).alias("_k"), date, "li"), F.col(key) == F.col("_k"))
-    if exclude_snapshots:
-        pairs = pairs.where(F.col("d0") != F.col(date))
-    weight = F.exp(-F.lit(float(np.log(2))) / F.col("half_life") * F.abs(F.datediff(F.col("d0"), F.col(date))).cast("double"))
-    scores = pairs.withColumn("w", weight).groupBy(key, "d0", "truth", "half_life").agg(F.try_divide(F.sum(F.col("w") * F.col("li")), F.sum("w")).alias("score"))
+    labels = labels.where(F.col(key).isNotNull() & F.col(date).isNotNull()).withColumn(date, F.col(date).cast("date"))
+    each = labels.select(key, date, "li", F.explode(F.array(*map(F.lit, map(float, half_lives)))).alias("half_life"))
+    sums = _decayed(each, F.col("half_life"), [key, "half_life"], date)
+    total = lambda part: F.col(f"before.{part}") + F.col(f"after.{part}") + (F.lit(0.0) if exclude_snapshots else F.col(f"own.{part}"))
+    scores = sums.select(key, "half_life", date, F.try_divide(total("num"), total("den")).alias("score"))
+    truths = labels.select(key, date, F.col("li").alias("truth")).distinct()
     ends = labels.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
     error = F.pow(F.col("score") - F.col("truth"), 2)
-    outer = (F.col("d0") == F.col("lo")) | (F.col("d0") == F.col("hi"))
-    out = scores.join(F.broadcast(ends)).groupBy("half_life").agg(F.avg(F.when(~outer, error)).alias("mid"), F.avg(F.when(outer, error)).alias("ext"))
+    outer = (F.col(date) == F.col("lo")) | (F.col(date) == F.col("hi"))
+    out = scores.join(truths, [key, date]).join(F.broadcast(ends)).groupBy("half_life").agg(F.avg(F.when(~outer, error)).alias("mid"), F.avg(F.when(outer, error)).alias("ext"))
     return out.withColumn("loss", 0.8 * F.coalesce("mid", F.lit(0.0)) + 0.2 * F.coalesce("ext", F.lit(0.0)))
 
 

@@ -268,3 +268,34 @@ def test_saved_models_and_station_inference(spark, tmp_path):
     assert got == [(1, at(19), 39.0), (3, at(19), 39.0)]
     with pytest.raises(KeyError):
         evaluate.predict_station(model, rows, near, 9)
+
+
+def test_decay_against_all_pairs(spark):
+    """Far labels whose weights only count against one another, several labels a day, and days before and after all of them."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=k)
+    rows = [(s, rng.choice([0, 3, 9, 200, 201, 900]), rng.choice([0.9, -1.0])) for s in range(6) for _ in range(7)] + [(50, 400, 0.9)]
+    labels = spark.createDataFrame([(s, day(k), v) for s, k, v in rows], "station_id long, slice_date date, li double")
+    calendar = [-400, 0, 1, 5, 150, 200, 500, 901]
+    for h in (0.5, 14.0):
+        weight = lambda a, b, h=h: math.exp(-math.log(2) / h * abs(a - b))
+        got = {(r.station_id, r.date): r.score for r in quality.health_decay(labels, spark.createDataFrame([(day(k),) for k in calendar], "date date"), h).collect()}
+        assert len(got) == 7 * len(calendar)
+        for s in {r[0] for r in rows}:
+            for k in calendar:
+                den = sum(weight(k, j) for t, j, _ in rows if t == s)
+                want = sum(weight(k, j) * v for t, j, v in rows if t == s) / den if den else None
+                assert (got[s, day(k)] is None) == (want is None) and (want is None or got[s, day(k)] == pytest.approx(want, abs=1e-9))
+    for exclude in (False, True):
+        got = {r.half_life: (r.mid, r.ext) for r in quality.half_life_sweep(labels, [0.5, 7.0], exclude_snapshots=exclude).collect()}
+        for h in (0.5, 7.0):
+            errors = {"mid": [], "ext": []}
+            for s, k, v in set(rows):
+                pairs = [(j, u) for t, j, u in rows if t == s and not (exclude and j == k)]
+                den = sum(math.exp(-math.log(2) / h * abs(j - k)) for j, _ in pairs)
+                if den:
+                    errors["ext" if k in (0, 900) else "mid"].append((sum(math.exp(-math.log(2) / h * abs(j - k)) * u for j, u in pairs) / den - v) ** 2)
+            assert got[h] == pytest.approx(tuple(sum(e) / len(e) for e in errors.values()))
