@@ -54,3 +54,41 @@ def running_fill(df: DataFrame, key: str, time: str, value: str):
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     return df.select(key, time, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def running_fill_with_state(df: DataFrame, key: str, time: str, value: str):
+    """``running_fill`` by a stateful processor, whose state Spark keeps on disk, in RocksDB.
+
+    ValueError unless the session's ``spark.sql.streaming.stateStore.providerClass`` is ``STATE_STORE``.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    if df.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STATE_STORE:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE}")
+
+    class Carry(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.state = handle.getValueState("last", "v double")
+
+        def handleInputRows(self, key_row, frames, timer_values):
+            last = self.state.get()[0] if self.state.exists() else None
+            rows = pd.concat(list(frames)).sort_values(time, kind="stable")
+            filled = []
+            for v in rows[value]:
+                last = last if pd.isna(v) else float(v)
+                filled.append(last)
+            if last is not None:
+                self.state.update((last,))
+            yield rows.assign(filled=pd.array(filled, dtype="Float64"))[[key, time, value, "filled"]]
+
+        def close(self) -> None:
+            pass
+
+    types = dict(df.dtypes)
+    schema = f"{key} {types[key]}, {time} {types[time]}, {value} double, filled double"
+    rows = df.select(key, time, F.col(value).cast("double").alias(value))
+    return rows.groupBy(key).transformWithStateInPandas(Carry(), schema, "append", "none")

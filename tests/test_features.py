@@ -299,3 +299,27 @@ def test_decay_against_all_pairs(spark):
                 if den:
                     errors["ext" if k in (0, 900) else "mid"].append((sum(math.exp(-math.log(2) / h * abs(j - k)) * u for j, u in pairs) / den - v) ** 2)
             assert got[h] == pytest.approx(tuple(sum(e) / len(e) for e in errors.values()))
+
+
+def test_carrying_by_a_stateful_processor(spark, tmp_path):
+    schema, path = "station_id long, timestamp timestamp_ntz, value double", str(tmp_path / "carried")
+    batch = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    batch([(1, at(1), None), (1, at(0), 2.0), (2, at(0), None)])
+    stream = spark.readStream.schema(schema).parquet(path)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    with pytest.raises(ValueError, match="providerClass"):
+        windows.running_fill_with_state(stream, "station_id", "timestamp", "value")
+    before = spark.conf.get(name)
+    spark.conf.set(name, windows.STATE_STORE)
+    try:
+        query = windows.running_fill_with_state(stream, "station_id", "timestamp", "value").writeStream.format("memory").queryName("kept_state").outputMode("append").start()
+        try:
+            query.processAllAvailable()
+            batch([(1, at(2), None), (2, at(1), 5.0), (2, at(2), None), (3, at(2), None)])
+            query.processAllAvailable()
+            got = {(r.station_id, r.timestamp): r.filled for r in spark.sql("SELECT * FROM kept_state").collect()}
+        finally:
+            query.stop()
+    finally:
+        spark.conf.set(name, before)
+    assert got == {(1, at(0)): 2.0, (1, at(1)): 2.0, (1, at(2)): 2.0, (2, at(0)): None, (2, at(1)): 5.0, (2, at(2)): 5.0, (3, at(2)): None}
