@@ -111,7 +111,9 @@ def rule_scores(df: DataFrame, station: str = "station_id", time: str = "timesta
     """
     own = df.groupBy(station).agg(F.percentile(speed, F.lit(0.99)).alias("_q99")).withColumnRenamed(station, "_s")
     # a station's quantile is over one series; those of all rows come from range partitions
-    whole = quantiles(df, speed, {"_q99_all": 0.99}).join(quantiles(df, samples, {"_q10": 0.1}))
+    each = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in (speed, samples)))).alias("e")).select("e.*")
+    both = quantiles(each, "_v", {"_hi": 0.99, "_lo": 0.1}, ["_c"])
+    whole = both.agg(F.max(F.when(F.col("_c") == speed, F.col("_hi"))).alias("_q99_all"), F.max(F.when(F.col("_c") == samples, F.col("_lo"))).alias("_q10"))
     w = Window.partitionBy(station).orderBy(time, *tie)
     around = reduce(lambda a, b: a & b, (f(flow, k).over(w) > 0 for f in (F.lag, F.lead) for k in (1, 2)))
     s8 = truth((F.col(flow) == 0) & (F.col(occupancy) == 0) & around).cast("int")
@@ -139,22 +141,25 @@ def f1_sweep(df: DataFrame, grid: DataFrame, truth_col: str = "true_bad", day_ke
     row's predictions for all rows of the grid are the bits of a few numbers. Rows, and days
     after or-ing theirs, are counted by those bits, whose different patterns the grid bounds (as
     regions between its planes) and the rows don't; only the patterns meet the grid. The grid is
-    a parameter of at most ``MOST_PARAMETERS`` rows, ValueError above; repeated rows count once.
+    a parameter of 1 to ``MOST_PARAMETERS`` rows, else ValueError; repeated ones count once.
     """
     params = ["a5", "a7", "a8", "threshold"]
-    sets = sorted(tuple(map(float, r)) for r in grid.select(*params).distinct().limit(MOST_PARAMETERS + 1).collect())
-    if not sets or len(sets) > MOST_PARAMETERS:
+    found = grid.select(*params).limit(MOST_PARAMETERS + 1).collect()
+    if not found or len(found) > MOST_PARAMETERS:
         raise ValueError(f"the grid has no rows or over {MOST_PARAMETERS}")
+    sets = sorted({tuple(map(float, r)) for r in found})
     words = [sets[at : at + 62] for at in range(0, len(sets), 62)]
-    hit = lambda a5, a7, a8, t: truth(F.lit(a5) * F.col("s5") + F.lit(a7) * F.col("s7") + F.lit(a8) * F.col("s8") > t)
-    bits = [reduce(lambda x, y: x.bitwiseOR(y), (F.when(hit(*p), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, p in enumerate(part))).alias(f"b{w}") for w, part in enumerate(words)]
+    # as SQL text, since building thousands of column objects takes longer than the query
+    hit = lambda p: f"coalesce({p[0]!r}D * s5 + {p[1]!r}D * s7 + {p[2]!r}D * s8 > {p[3]!r}D, false)"
+    bits = [F.expr(" + ".join(f"IF({hit(p)}, {1 << k}L, 0L)" for k, p in enumerate(part))).alias(f"b{w}") for w, part in enumerate(words)]
     names = [f"b{w}" for w in range(len(words))]
     rows = df.select(*day_keys, truth(F.col(truth_col)).alias("t"), *bits)
     slim = durable(rows.groupBy(*day_keys, "t", *names).agg(F.count(F.lit(1)).alias("c")))
     by_row = slim.groupBy("t", *names).agg(F.sum("c").alias("c")).withColumn("level", F.lit("time"))
     days = slim.groupBy(*day_keys).agg(F.bool_or("t").alias("t"), *(F.bit_or(b).alias(b) for b in names))
     by_day = days.groupBy("t", *names).agg(F.count(F.lit(1)).alias("c")).withColumn("level", F.lit("day"))
-    each = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(params, p, strict=True)), (F.shiftright(f"b{w}", k).bitwiseAND(F.lit(1)) == 1).alias("p")) for w, part in enumerate(words) for k, p in enumerate(part))))
+    told = (f"named_struct({', '.join(f'{n!r}, {v!r}D' for n, v in zip(params, p, strict=True))}, 'p', (shiftright(b{w}, {k}) & 1L) = 1L)" for w, part in enumerate(words) for k, p in enumerate(part))
+    each = F.explode(F.expr(f"array({', '.join(told)})"))
     flat = by_row.unionByName(by_day).select("level", "t", "c", each.alias("e")).select("level", "t", "c", "e.*")
     of = lambda level, t, p: F.sum(F.when((F.col("level") == level) & (F.col("t") == t) & (F.col("p") == p), F.col("c")).otherwise(0))
     score = lambda level: F.coalesce(F.try_divide(2.0 * of(level, True, True), (2.0 * of(level, True, True) + of(level, False, True) + of(level, True, False)).cast("double")), F.lit(0.0))
