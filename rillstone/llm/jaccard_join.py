@@ -40,9 +40,10 @@ SAMPLE = 32
 #: Sets and shingles of a block in the exact comparison (on average; one larger set is a block of its own).
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
-#: Rows and shingle columns of the matrices that a task holds besides the counts of two blocks.
+#: Rows and shingle columns of the matrices that a task holds, and of how many rows it has all counts at a time.
 STRIP = 256
 WIDTH = 1024
+PANEL = 1024
 
 _FOLD = np.zeros(256, np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
@@ -141,10 +142,12 @@ def _sketch(size):
 
 
 def _forest(near: np.ndarray) -> np.ndarray:
-    """The least connected index of each index of a symmetric boolean matrix with a true diagonal."""
-    label = np.arange(len(near))
+    """The least connected index of each index of a symmetric boolean matrix with a true diagonal, its rows packed to bits."""
+    n = len(near)
+    label = np.arange(n)
     while True:
-        new = np.concatenate([np.where(near[at : at + STRIP], label[None, :], len(near)).min(1) for at in range(0, len(near), STRIP)])
+        rows = (np.unpackbits(near[at : at + STRIP], axis=1, count=n).view(bool) for at in range(0, n, STRIP))
+        new = np.concatenate([np.where(x, label[None, :], n).min(1) for x in rows])
         new = np.minimum(new, new[new])
         if (new == label).all():
             return label
@@ -163,7 +166,7 @@ def _bucket_edges(share_needed, ratio):
         for k in range(TOKENS):
             share += s[:, k, None] == s[None, :, k]
         near = (share >= share_needed * TOKENS) & (np.minimum(size[:, None], size) >= ratio * np.maximum(size[:, None], size))
-        label = _forest(near | np.eye(len(sets), dtype=bool))
+        label = _forest(np.packbits(near | np.eye(len(sets), dtype=bool), axis=1))
         for i in np.flatnonzero(label != np.arange(len(sets))):
             yield sets[i], sets[label[i]]
 
@@ -254,37 +257,47 @@ def exact_links(names: list[bytes], sets: list[np.ndarray], left: np.ndarray, ri
     """Each set's number of links from ``left`` to ``right`` sets, and its least linked index.
 
     Intersections are counted by matrix products over the shingles that occur in two sets or
-    more, ``WIDTH`` columns and ``STRIP`` rows at a time; only the counts (4 bytes a pair) and
-    the links (1 byte) are held whole.
+    more, ``WIDTH`` columns and ``STRIP`` rows at a time. The counts (4 bytes a pair) are held of
+    ``PANEL`` rows, the links as bits.
     """
     n = len(sets)
     sizes = np.array(list(map(len, sets)), np.int64)
-    owner = np.repeat(np.arange(n), sizes)
     values = np.concatenate(sets)
-    kinds, column, times = np.unique(values, return_inverse=True, return_counts=True)
-    shared = times > 1
-    place = np.cumsum(shared) - 1
-    keep = shared[column]
-    owner, column = owner[keep], place[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    inter = np.zeros((n, n), np.float32)
-    for lo in range(0, int(shared.sum()), WIDTH):
-        a, b = np.searchsorted(column, [lo, lo + WIDTH])
-        used = np.unique(owner[a:b])
-        dense = np.zeros((len(used), WIDTH), np.float32)
-        dense[np.searchsorted(used, owner[a:b]), column[a:b] - lo] = 1
-        for at in range(0, len(used), STRIP):
-            inter[np.ix_(used[at : at + STRIP], used)] += dense[at : at + STRIP] @ dense.T
-    near = np.zeros((n, n), bool)
-    for at in range(0, n, STRIP):
-        some = slice(at, at + STRIP)
-        shares = inter[some].astype(np.int64)
-        near[some] = threshold[1] * shares >= threshold[0] * (sizes[some, None] + sizes[None, :] - shares)
-        near[some] &= (left[some, None] & right[None, :]) | (right[some, None] & left[None, :])
-    np.fill_diagonal(near, False)
-    degree = near.sum(1)
-    np.fill_diagonal(near, True)
+    order = np.argsort(values)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+    values = values[order]
+    first = np.ones(len(values) + 1, bool)
+    first[1:-1] = values[1:] != values[:-1]
+    del values, order
+    shared = ~(first[:-1] & first[1:])
+    owner = owner[shared]
+    column = np.cumsum(first[:-1][shared], dtype=np.int32) - 1
+    del first, shared
+    degree = np.zeros(n, np.int64)
+    near = np.zeros((n, -(-n // 8)), np.uint8)
+    for top in range(0, n, PANEL):
+        end = min(n, top + PANEL)
+        inter = np.zeros((end - top, n), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+            a, b = np.searchsorted(column, np.array([lo, lo + WIDTH], np.int32))
+            used = np.unique(owner[a:b])
+            i, j = np.searchsorted(used, [top, end])
+            if i == j:
+                continue
+            dense = np.zeros((len(used), WIDTH), np.float32)
+            dense[np.searchsorted(used, owner[a:b]), column[a:b] - lo] = 1
+            for at in range(i, j, STRIP):
+                some = slice(at, min(at + STRIP, j))
+                inter[np.ix_(used[some] - top, used)] += dense[some] @ dense.T
+        for at in range(top, end, STRIP):
+            some = slice(at, min(at + STRIP, end))
+            shares = inter[some.start - top : some.stop - top].astype(np.int64)
+            linked = threshold[1] * shares >= threshold[0] * (sizes[some, None] + sizes[None, :] - shares)
+            linked &= (left[some, None] & right[None, :]) | (right[some, None] & left[None, :])
+            np.fill_diagonal(linked[:, at:], False)
+            degree[some] = linked.sum(1)
+            np.fill_diagonal(linked[:, at:], True)
+            near[some] = np.packbits(linked, axis=1)
     return degree, _forest(near)
 
 
@@ -302,7 +315,7 @@ def _verify(threshold):
 
     def run(batches):
         pair, held = None, []
-        for batch in batches:
+        for batch in text_slices(batches, "shingles"):
             out = []
             for row in zip(*(batch.column(k).to_pylist() for k in ("component", "i", "j", "set", "shingles", "block")), strict=True):
                 if row[:3] != pair:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -101,6 +102,22 @@ def test_exact_links_in_strips():
     assert all(label[a] == label[b] for a in range(600) for b in near[a])
 
 
+def test_two_blocks_of_counts_are_not_held_whole():
+    rng = np.random.default_rng(5)
+    n = 4096
+    sets = [np.unique(rng.integers(0, 4000, 20)).astype(np.uint64) for _ in range(n)]
+    left = np.arange(n) < n // 2
+    tracemalloc.start()
+    degree, label = exact_links([b""] * n, sets, left, ~left, (1, 9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * n * n  # a float count for each pair
+    plain = [set(x.tolist()) for x in sets]
+    for a in range(0, n, 512):
+        linked = [b for b in range(n) if left[a] != left[b] and 9 * len(plain[a] & plain[b]) >= len(plain[a] | plain[b])]
+        assert degree[a] == len(linked) and {label[b] for b in linked} <= {label[a]}
+
+
 def test_one_very_long_word(spark):
     rows = [(1, "z" * 300_000), (2, "z" * 300_000 + "y"), (3, "z" * 300_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
