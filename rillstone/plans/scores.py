@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillstone.functions.numeric import quantize
+from rillstone.functions.numeric import ordered_mean, quantize
 from rillstone.functions.timeslots import floor_time
 from rillstone.operators import fill, quality, tables
 from rillstone.plans.views import MASKED, READINGS, q, readings, table
@@ -14,7 +14,7 @@ MASKS = fill.MASKS
 
 def mask_union(spark, d):
     rows = readings(spark, d).withColumn("timestamp", floor_time(F.col("ts"), 60))
-    health = rows.groupBy("station_id", F.to_date("timestamp").alias("date")).agg(F.avg("occupancy").alias("health"))
+    health = rows.groupBy("station_id", F.to_date("timestamp").alias("date")).agg(ordered_mean("occupancy", "event_id").alias("health"))
     return quality.union_masks(rows, rows, rows, health, 0.3)
 
 

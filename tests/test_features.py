@@ -1,7 +1,9 @@
 import datetime as dt
+import random
 
 import pytest
 
+from rillstone.functions.numeric import ordered_mean
 from rillstone.functions.timeslots import federal_holidays, with_calendar
 from rillstone.operators import evaluate, features, quality, tables
 from rillstone.streaming import windows
@@ -323,3 +325,24 @@ def test_carrying_by_a_stateful_processor(spark, tmp_path):
     finally:
         spark.conf.set(name, before)
     assert got == {(1, at(0)): 2.0, (1, at(1)): 2.0, (1, at(2)): 2.0, (2, at(0)): None, (2, at(1)): 5.0, (2, at(2)): 5.0, (3, at(2)): None}
+
+
+def test_ordered_mean_does_not_depend_on_partitions(spark):
+    """Means that are exactly 0.3: their last bit is that of the sum by id."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for g in range(300):
+        ks = [rng.randint(0, 60) for _ in range(12)]
+        ks += [60 - k for k in ks]
+        rng.shuffle(ks)
+        rows += [(g, i, k / 100.0) for i, k in enumerate(ks)]
+        total = 0.0
+        for k in ks:
+            total += k / 100.0
+        want[g] = total / len(ks)
+    rows += [(300, 0, None), (301, 0, None), (301, 1, 0.25)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g long, i long, x double")
+    for parts in (1, 7):
+        got = {r.g: r.m for r in df.repartition(parts).groupBy("g").agg(ordered_mean("x", "i").alias("m")).collect()}
+        assert got == want | {300: None, 301: 0.25}
